@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import mixing, simhash, urlfilter
 
-MODULES = (simhash,)
+MODULES = (mixing, urlfilter, simhash)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
