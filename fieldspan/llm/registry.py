@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, urlfilter
+from . import embeddup, mixing, simhash, topk, urlfilter
 
-MODULES = (mixing, urlfilter, simhash)
+MODULES = (embeddup, mixing, urlfilter, simhash, topk)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
