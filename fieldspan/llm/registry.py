@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import embeddup, mixing, packing, simhash, topk, urlfilter
+from . import embeddup, langid, mixing, packing, simhash, topk, urlfilter
 
-MODULES = (packing, embeddup, mixing, urlfilter, simhash, topk)
+MODULES = (packing, langid, embeddup, mixing, urlfilter, simhash, topk)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
