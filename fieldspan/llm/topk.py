@@ -18,6 +18,8 @@ from .common import cut, table
 
 #: Rows of a block of queries and of a block of candidates, on average.
 BLOCK = 8192
+#: Queries that go through the levels together.
+STRIP = 64
 #: Pairs whose exact products are computed at once.
 PAIRS = 1 << 16
 
@@ -50,6 +52,11 @@ def _exact(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray) -> np.n
                      for i, j in zip(qi, xi, strict=True)], np.int64)
 
 
+def _exact_all(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Integer inner products of all pairs, where doubles hold them: cheaper for many survivors of a strip."""
+    return np.rint(q @ x.T).astype(np.int64)
+
+
 def segments(v: np.ndarray, parts: int) -> np.ndarray:
     """sqrt(l) times the means and deviations of `parts` segments side by side."""
     d = v.shape[1]
@@ -61,34 +68,44 @@ def segments(v: np.ndarray, parts: int) -> np.ndarray:
 
 
 def search(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, xkey: np.ndarray, k: int):
-    """(query row, candidate row, score) of at least the k best of each query; qid and xid tell a query's own row."""
+    """(query row, candidate row, score) of the k best of each query; qid and xid tell a query's own row.
+
+    A strip of queries goes through the levels while its matrix of bounds stays in the cache. The k
+    candidates with the best bounds give exact scores, the k-th of them a floor for what can be among
+    the k best; pairs whose bound is below the floor are gone.
+    """
     d = max(q.shape[1], x.shape[1])
     q, x = (np.pad(v, ((0, 0), (0, d - v.shape[1]))) for v in (q, x))
-    alive = qid[:, None] != xid[None, :]
-    scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-    floor = np.full(len(q), -np.inf)
-    parts, k_here = 1, min(k, len(x))
-    while d and k_here and parts < d:
-        bound = segments(q, parts) @ segments(x, parts).T
-        bound += 1e-9 * scale + 1e-6
-        bound[~alive] = -np.inf
-        # the k most promising by this bound give a floor for the k-th best score
-        best = np.argpartition(-bound, k_here - 1, axis=1)[:, :k_here]
-        qi = np.repeat(np.arange(len(q)), k_here)
-        score = _exact(q, x, qi, best.ravel()).astype(float).reshape(best.shape)
-        score[np.take_along_axis(~alive, best, 1)] = -np.inf
-        if k_here == k:
-            floor = np.maximum(floor, score.min(1))
-        alive &= bound >= floor[:, None]
-        parts *= 2
-        if alive.sum() <= 2 * k * len(q):
-            break
-    qi, xi = np.nonzero(alive)
-    score = _exact(q, x, qi, xi)
+    k_here = min(k, len(x))
+    levels = [1 << i for i in range(max(0, d - 1).bit_length())] if k_here else []
+    seg_q, seg_x = ([segments(v, n).astype(np.float32) for n in levels] for v in (q, x))
+    # the bounds are sums in single precision: this is far above their rounding errors
+    slack = 1e-5 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max(initial=0) + 1e-3
+    small = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(d, 1) < 2**53
+    found = []
+    for s in range(0, len(q), STRIP):
+        rows = np.arange(s, min(s + STRIP, len(q)))
+        alive = qid[rows, None] != xid[None, :]
+        floor = np.full(len(rows), -np.inf)
+        for level, (sq, sx) in enumerate(zip(seg_q, seg_x, strict=True)):
+            bound = sq[rows] @ sx.T
+            bound[~alive] = -np.inf
+            if level in (0, len(levels) // 2, len(levels) - 1) and k_here == k:
+                best = np.argpartition(bound, bound.shape[1] - k, axis=1)[:, -k:]
+                score = _exact(q, x, np.repeat(rows, k), best.ravel()).astype(float).reshape(best.shape)
+                score[~np.take_along_axis(alive, best, 1)] = -np.inf
+                floor = np.maximum(floor, score.min(1))
+            alive &= bound >= (floor - slack[rows]).astype(np.float32)[:, None]
+            if np.count_nonzero(alive) <= 2 * k * len(rows):
+                break
+        qi, xi = np.nonzero(alive)
+        score = _exact_all(q[rows], x)[qi, xi] if len(qi) * 16 > alive.size and small else _exact(q, x, rows[qi], xi)
+        good = score >= floor[qi]
+        found.append((rows[qi[good]], xi[good], score[good]))
+    qi, xi, score = (np.concatenate(p) for p in zip(*found, strict=True))
     order = np.lexsort((xkey[xi], -score, qi))
     qi, xi, score = qi[order], xi[order], score[order]
-    first = np.searchsorted(qi, np.arange(len(q)))
-    keep = np.arange(len(qi)) - first[qi] < k
+    keep = np.arange(len(qi)) - np.searchsorted(qi, np.arange(len(q)))[qi] < k
     return qi[keep], xi[keep], score[keep]
 
 
@@ -120,12 +137,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embeddi
         qrid, vrid = a["rid"].to_numpy(), b["rid"].to_numpy()
         vid = b["id"].combine_chunks() if isinstance(b["id"], pa.ChunkedArray) else b["id"]
         key = vid.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-        qx, vx, parts = matrix(a["x"]), matrix(b["x"]), []
-        step = max(1, (1 << 23) // max(1, len(vx)))
-        for i in range(0, len(qx), step):
-            qi, xi, s = search(qx[i:i + step], qrid[i:i + step], vx, vrid, key, k)
-            parts.append((qi + i, xi, s))
-        qi, xi, s = (np.concatenate(p) for p in zip(*parts, strict=True))
+        qi, xi, s = search(matrix(a["x"]), qrid, matrix(b["x"]), vrid, key, k)
         return pa.Table.from_arrays([pa.array(qrid[qi]), a["id"].take(pa.array(qi)).combine_chunks().cast(pa.int64()), pa.array(vrid[xi]),
                                      vid.take(pa.array(xi)).cast(pa.int64()), pa.array(s)], schema=schema)
 
