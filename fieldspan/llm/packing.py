@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, maybe_broadcast, table
 from .tokens import tokenizer
 
 CAPACITY, END = 2048, 1
@@ -202,7 +202,8 @@ def pack(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str =
                 t["ids"].to_pylist(), t["skip"].to_pylist(), t["length"].to_pylist(), strict=True)]
             yield from t.drop_columns(["ids", "skip"]).set_column(3, "ids_crc32", pa.array(crc, pa.int64())).to_batches()
 
-    parts = placed.where(~F.col("whole")).join(made.select("pid", "idx", "ids"), ["pid", "idx"])
+    # as a rule a handful of pieces is cut, and then the ids of the others stay where they are
+    parts = made.select("pid", "idx", "ids").join(maybe_broadcast(placed.where(~F.col("whole"))), ["pid", "idx"])
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     parts = parts.select(*out, "ids", "skip").mapInArrow(again, schema)
     return placed.where("whole").select(out).union(parts.select(out))

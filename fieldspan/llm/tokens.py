@@ -1,7 +1,9 @@
-"""Token ids of whole texts through a word cache in front of a public tokenizer.
+"""Token ids of whole texts through a cache of words in front of a public tokenizer.
 
-The tokenizer's pieces never span white space, so a text's ids are its words' ids in a row. Each
-worker process keeps the ids of the words it saw last; only new words reach the tokenizer.
+The tokenizer first splits a text into letters, single digits and runs of other marks, and its ids are
+the ids of these units in a row. Each worker process keeps the ids of the units it saw last; only new
+units reach the tokenizer. Where a text holds characters for which the split is not plainly known, it is
+split at white space alone, which no unit spans.
 """
 
 from __future__ import annotations
@@ -13,13 +15,30 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Marks that end a word and are pieces of their own after a letter or digit.
-MARKS = b".,;:!?*%$&#()\"-"
-#: Entries of one of the two generations of a cache.
-KEEP = 250_000
-#: Bytes of a text that are split into words at once.
-WINDOW = 1 << 20
+#: Units that one of the two generations of the cache holds.
+KEEP = 500_000
+#: Bytes of text that are split at once.
+WINDOW = 1 << 18
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: The split of the tokenizer file for lower-cased ASCII, with all other bytes counting as letters.
+_UNITS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\x20\x09-\x0Da-z0-9\x80-\xff]+").findall
+_ASCII = frozenset(map(chr, range(128)))
+
+
+@lru_cache(1 << 16)
+def _plain_letter(c: str) -> bool:
+    """A letter that stays letters when lower-cased."""
+    return all(unicodedata.category(x)[0] == "L" for x in c + c.lower())
+
+
+def units(text: bytes) -> list[bytes]:
+    if b"<|" not in text:
+        if text.isascii():
+            return _UNITS(text.lower())
+        s = text.decode("utf-8", "replace")
+        if unicodedata.is_normalized("NFC", s) and all(map(_plain_letter, set(s) - _ASCII)):
+            return _UNITS(text.lower())
+    return text.split()
 
 
 def windows(text: bytes):
@@ -34,7 +53,7 @@ def windows(text: bytes):
     yield text[at:] if at else text
 
 
-class WordTokenizer:
+class UnitTokenizer:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -43,78 +62,53 @@ class WordTokenizer:
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.core: dict[bytes, bytes] = {}
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         e = self.tok.encode([w.decode("utf-8", "replace") for w in words], is_pretokenized=True, add_special_tokens=False)
         ids, word = np.array(e.ids, self.kind), np.array(e.word_ids, np.int64)
-        at = np.searchsorted(word, np.arange(len(words) + 1))
-        raw, n = ids.tobytes(), self.kind.itemsize
-        return [raw[a * n:b * n] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, bytes]:
-        """A word as stem and marks, where the tokenizer surely splits there; else whole."""
-        if b"<|" in word:
-            return word, b""
-        low = word.lower()
-        stem = low.rstrip(MARKS)
-        if not stem or len(stem) == len(low):
-            return low, b""
-        if stem[-1] < 128:
-            ok = 48 <= stem[-1] <= 57 or 97 <= stem[-1] <= 122
-        else:
-            ok = unicodedata.category(stem[-4:].decode("utf-8", "ignore")[-1:] or " ")[0] in "LN"
-        return (stem, low[len(stem):]) if ok else (low, b"")
+        n = self.kind.itemsize
+        at = (np.searchsorted(word, np.arange(len(words) + 1)) * n).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def learn(self, words: set[bytes]) -> None:
         """Make sure that all the words are in the young generation."""
-        new = words - self.young.keys()
+        new = words.difference(self.young)
         if len(self.young) + len(new) > KEEP:
             self.old, self.young, new = self.young, {}, words
-        if self.old:
-            for w in new & self.old.keys():
-                self.young[w] = self.old[w]
-            new = new - self.young.keys()
-        if not new:
-            return
-        if len(self.core) > KEEP:
-            self.core = {}
-        split = [(w, *self._parts(w)) for w in new]
-        ask = list({p for _, a, b in split for p in (a, b) if p and p not in self.core})
-        if ask:
-            self.core.update(zip(ask, self._encode(ask), strict=True))
-        core = self.core
-        for w, a, b in split:
-            self.young[w] = core[a] + core[b] if b else core[a]
+        if self.old and new:
+            old = self.old
+            known = [w for w in new if w in old]
+            self.young.update((w, old[w]) for w in known)
+            new = new.difference(known)
+        if new:
+            ask = list(new)
+            self.young.update(zip(ask, self._encode(ask), strict=True))
+
+    def _flush(self, batch: list[bytes]) -> list[np.ndarray]:
+        parts = [units(t) for t in batch]
+        self.learn(set().union(*parts))
+        get = self.young.__getitem__
+        return [np.frombuffer(b"".join(map(get, p)), self.kind) for p in parts]
 
     def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Ids of each text; a null text has none."""
-        out, batch, size = [], [], 0
-
-        def flush():
-            words = [[w.split() for w in windows(t)] for t in batch]
-            self.learn({x for t in words for w in t for x in w} if len(batch) > 1 or len(words[0]) == 1 else set())
-            for t in words:
-                raw = []
-                for w in t:
-                    if len(t) > 1:
-                        self.learn(set(w))
-                    raw.append(b"".join(map(self.young.__getitem__, w)))
-                out.append(np.frombuffer(b"".join(raw), self.kind))
-
+        out: list[np.ndarray] = []
+        batch: list[bytes] = []
+        size = 0
         for t in texts:
             t = t or b""
             if batch and size + len(t) > WINDOW:
-                flush()
+                out += self._flush(batch)
                 batch, size = [], 0
-            batch.append(t)
-            size += len(t)
-        if batch:
-            flush()
-        return out
+            if len(t) > WINDOW:
+                out.append(np.concatenate([x for w in windows(t) for x in self._flush([w])]))
+            else:
+                batch.append(t)
+                size += len(t)
+        return out + (self._flush(batch) if batch else [])
 
 
 @lru_cache(2)
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def tokenizer(path: str) -> UnitTokenizer:
+    return UnitTokenizer(path)
