@@ -57,6 +57,26 @@ def _at_exit(spark: SparkSession, path: str) -> None:
         return
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """docs with a row number rid, written once in buckets by rid into the warehouse that all executors
+    share: a later join on rid does not shuffle the texts. The table goes at the end of the session."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"fieldspan_rows_{uuid.uuid4().hex}"
+    (docs.withColumn("rid", F.monotonically_increasing_id()).repartition(n, "rid")
+     .write.option("compression", "zstd").bucketBy(n, "rid").saveAsTable(name))
+    atexit.register(_forget, spark, name)
+    return spark.table(name)
+
+
+def _forget(spark: SparkSession, name: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001  the session may be gone by now
+        return
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by cut() that nothing reads any more."""
     _delete(df.sparkSession, df.cut_path)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod, cut, table
 
@@ -289,8 +290,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     repeated rows score alike; an empty table gives no rows; columns not named are not read.
     """
     net = train(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, label_col=label_col, fit_rows=fit_rows)
+    # text and language are sent to Python once, also where they are kept
     base = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"),
-                       (crc_mod(id_col, 4) == 2).alias("held_out"), F.col(id_col), *[F.col(c) for c in keep])
+                       (crc_mod(id_col, 4) == 2).alias("held_out"), F.col(id_col), *[F.col(c) for c in keep if c not in (text_col, lang_col)])
 
     def run(batches):
         words, vec = Words(), np.zeros((0, DIM), np.float32)
@@ -312,12 +314,14 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
                         vec = np.concatenate([vec, new])
                     score = net.score(rows, vec).astype(np.float64)
                     limit = np.array([net.thresholds.get(n or "", net.threshold) for n in names])
-                cols = [c.slice(at, 64) for c in b.columns[2:]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(score), pa.array(score >= limit)], names=[*b.schema.names[2:], "score_", "toxic_"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*base.schema.fields[2:], T.StructField("score_", T.DoubleType()), T.StructField("toxic_", T.BooleanType())])
+                cols = [b.column(i).slice(at, 64) for i in sent]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(score), pa.array(score >= limit)], names=[f.name for f in schema.fields])
+
+    plain = base.columns
+    sent = [2, 3, *(0 if c == text_col else 1 if c == lang_col else plain.index(c, 3) for c in keep)]
+    names = ["held_out", id_col, *keep]
+    schema = T.StructType([*(T.StructField(n, base.schema.fields[i].dataType) for n, i in zip(names, sent, strict=True)),
+                           T.StructField("score_", T.DoubleType()), T.StructField("toxic_", T.BooleanType())])
     return base.mapInArrow(run, schema)
 
 
