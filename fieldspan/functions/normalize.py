@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import CPT, FIELD_KINDS, ICD10, MONEY_WORDS, MONTHS, NAME_SUFFIXES, NAME_TITLES, ORG_SUFFIXES
-from .text import compact, fold, null_if_empty, squash, strip
+from .text import compact, fold, let, null_if_empty, squash, strip
 
 NUMERIC = r"^(\d{1,4})[/\-.](\d{1,2})[/\-.](\d{1,4})$"
 MONTH_FIRST = r"^([a-z]+)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{2,4})$"
@@ -38,48 +38,64 @@ def _months() -> Column:
     return F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
 
 
-def date_parts(c: Column) -> tuple[Column, Column, Column]:
-    """(ISO date, order was ambiguous, shape was recognised); month first where both readings are valid."""
-    t = date_text(c)
-    numeric = t.rlike(NUMERIC)
-    a, b, y = (_int(t, NUMERIC, i) for i in (1, 2, 3))
-    iso_first = F.length(F.regexp_extract(t, NUMERIC, 1)) == 4
-    year = expand_year(y)
-    by_number = F.when(iso_first, safe_date(a, b, y)).when(a > 12, safe_date(year, b, a)).otherwise(safe_date(year, a, b))
-    m1 = F.try_element_at(_months(), F.regexp_extract(t, MONTH_FIRST, 1))
-    m2 = F.try_element_at(_months(), F.regexp_extract(t, DAY_FIRST, 2))
-    first = safe_date(expand_year(_int(t, MONTH_FIRST, 3)), m1, _int(t, MONTH_FIRST, 2))
-    second = safe_date(expand_year(_int(t, DAY_FIRST, 3)), m2, _int(t, DAY_FIRST, 1))
-    iso = F.when(numeric, by_number).when(m1.isNotNull(), first).when(m2.isNotNull(), second)
-    ambiguous = F.coalesce(numeric & ~iso_first & (a <= 12) & (b <= 12), F.lit(False))
-    return iso, ambiguous, F.coalesce(numeric | m1.isNotNull() | m2.isNotNull(), F.lit(False))
+def date_parts(c: Column) -> Column:
+    """struct(iso, ambiguous, known): ISO date; whether the order was ambiguous (month first then);
+    whether the shape was recognised at all."""
+    def of(t):
+        a, b, y = (_int(t, NUMERIC, i) for i in (1, 2, 3))
+        iso_first = F.length(F.regexp_extract(t, NUMERIC, 1)) == 4
+
+        def by_number(n):
+            year = expand_year(n["y"])
+            return F.struct(F.when(n["iso"], safe_date(n["a"], n["b"], n["y"])).when(n["a"] > 12, safe_date(year, n["b"], n["a"])).otherwise(
+                safe_date(year, n["a"], n["b"])).alias("iso"), (~n["iso"] & (n["a"] <= 12) & (n["b"] <= 12)).alias("ambiguous"), F.lit(True).alias("known"))
+
+        def by_name(m):
+            first = safe_date(expand_year(_int(t, MONTH_FIRST, 3)), m["m1"], _int(t, MONTH_FIRST, 2))
+            second = safe_date(expand_year(_int(t, DAY_FIRST, 3)), m["m2"], _int(t, DAY_FIRST, 1))
+            return F.struct(F.when(m["m1"].isNotNull(), first).when(m["m2"].isNotNull(), second).alias("iso"), F.lit(False).alias("ambiguous"),
+                            (m["m1"].isNotNull() | m["m2"].isNotNull()).alias("known"))
+
+        months = F.struct(F.try_element_at(_months(), F.regexp_extract(t, MONTH_FIRST, 1)).alias("m1"),
+                          F.try_element_at(_months(), F.regexp_extract(t, DAY_FIRST, 2)).alias("m2"))
+        numbers = F.struct(a.alias("a"), b.alias("b"), y.alias("y"), iso_first.alias("iso"))
+        return F.when(t.rlike(NUMERIC), let(numbers, by_number)).otherwise(let(months, by_name))
+
+    return let(date_text(c), of)
 
 
 def normalize_date(c: Column) -> Column:
     """ISO date of the shapes the corpus prints. Rows of other shapes are null here; functions.arrow
     has the tail for them, to be applied to those rows alone."""
-    return date_parts(c)[0]
+    return date_parts(c)["iso"]
 
 
 def normalize_amount(c: Column) -> Column:
     """Text with two decimals, half-even; null if there is no amount."""
-    t = squash(fold(c))
-    negative = (F.contains(t, F.lit("(")) & F.contains(t, F.lit(")"))) | F.ltrim(t).startswith("-")
-    t = F.regexp_replace(F.regexp_replace(t, "(?i)" + MONEY_WORDS, " "), r"[^\d,.\-]", "")
-    digits = t.rlike(r"\d")
-    comma, dot = F.contains(t, F.lit(",")), F.contains(t, F.lit("."))
-    bare, point = F.replace(t, F.lit(","), F.lit("")), F.replace(t, F.lit(","), F.lit("."))
-    comma_last = F.instr(F.reverse(t), ",") < F.instr(F.reverse(t), ".")
-    european = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    u = (F.when(comma & dot, F.when(comma_last, european).otherwise(bare))
-         .when(comma, F.when(t.rlike(r",\d{2}$"), point).otherwise(bare)).otherwise(t))
-    u = F.regexp_replace(F.regexp_replace(u, r"[^\d.\-]", ""), "^-+", "")
-    head, tail = F.regexp_extract(u, r"^(.*)\.([^.]*)$", 1), F.regexp_extract(u, r"^(.*)\.([^.]*)$", 2)
-    many = F.regexp_count(u, F.lit(r"\.")) > 1
-    u = F.when(many, F.concat(F.replace(head, F.lit("."), F.lit("")), F.lit("."), tail)).otherwise(u)
-    amount = F.bround(u.try_cast("decimal(38,10)"), 2).cast("decimal(38,2)")
-    fits = F.length(F.regexp_extract(u, r"^0*(\d*)", 1)) <= 26
-    return F.when(digits & fits & u.rlike(r"^(\d+\.?\d*|\.\d+)$"), F.when(negative, -amount).otherwise(amount).cast("string"))
+    def separators(t):
+        bare, point = F.replace(t, F.lit(","), F.lit("")), F.replace(t, F.lit(","), F.lit("."))
+        comma_last = F.instr(F.reverse(t), ",") < F.instr(F.reverse(t), ".")
+        european = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        both = F.contains(t, F.lit(",")) & F.contains(t, F.lit("."))
+        return (F.when(both, F.when(comma_last, european).otherwise(bare))
+                .when(F.contains(t, F.lit(",")), F.when(t.rlike(r",\d{2}$"), point).otherwise(bare)).otherwise(t))
+
+    def one_point(u):
+        head, tail = F.regexp_extract(u, r"^(.*)\.([^.]*)$", 1), F.regexp_extract(u, r"^(.*)\.([^.]*)$", 2)
+        return F.when(F.regexp_count(u, F.lit(r"\.")) > 1, F.concat(F.replace(head, F.lit("."), F.lit("")), F.lit("."), tail)).otherwise(u)
+
+    def number(u, negative):
+        amount = F.bround(u.try_cast("decimal(38,10)"), 2).cast("decimal(38,2)")
+        fits = F.length(F.regexp_extract(u, r"^0*(\d*)", 1)) <= 26
+        return F.when(fits & u.rlike(r"^(\d+\.?\d*|\.\d+)$"), F.when(negative, -amount).otherwise(amount).cast("string"))
+
+    def of(t):
+        negative = (F.contains(t, F.lit("(")) & F.contains(t, F.lit(")"))) | t.startswith("-")
+        plain = F.regexp_replace(F.regexp_replace(t, "(?i)" + MONEY_WORDS, " "), r"[^\d,.\-]", "")
+        digits = let(plain, lambda p: F.regexp_replace(F.regexp_replace(separators(p), r"[^\d.\-]", ""), "^-+", ""))
+        return let(let(digits, one_point), lambda u: number(u, negative))
+
+    return let(squash(fold(c)), of)
 
 
 def normalize_person(c: Column) -> Column:
@@ -88,22 +104,25 @@ def normalize_person(c: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(squash(fold(c)), titles, " "), suffixes, " ")
     t = F.regexp_replace(F.replace(t, F.lit("."), F.lit(" ")), suffixes, " ")
     t = F.regexp_replace(t, r"(?U)[^\w\s,'\-]", " ")
-    at = F.instr(t, ",")
-    last, first = F.substring(t, F.lit(1), at - 1), F.substring(t, at + 1, F.length(t))
-    t = F.when((at > 0) & (F.trim(first) != ""), F.concat(first, F.lit(" "), last)).otherwise(t)
-    return null_if_empty(strip(F.lower(squash(t)), " ,-'"))
+
+    def swap(x):
+        at = F.instr(x, ",")
+        last, first = F.substring(x, F.lit(1), at - 1), F.substring(x, at + 1, F.length(x))
+        return F.when((at > 0) & (F.trim(first) != ""), F.concat(first, F.lit(" "), last)).otherwise(x)
+
+    return let(strip(F.lower(squash(let(t, swap))), " ,-'"), null_if_empty)
 
 
 def normalize_org(c: Column) -> Column:
     """Lower case, without legal forms and punctuation."""
     legal = "(?i)" + ORG_SUFFIXES
     t = F.regexp_replace(F.regexp_replace(squash(fold(c)), legal, " "), r"(?U)[^\w\s&\-]", " ")
-    return null_if_empty(strip(F.lower(squash(F.regexp_replace(t, legal, " "))), " -&"))
+    return let(strip(F.lower(squash(F.regexp_replace(t, legal, " "))), " -&"), null_if_empty)
 
 
 def normalize_code(c: Column) -> Column:
     """Upper case letters A-Z and digits alone; references and codes."""
-    return null_if_empty(F.upper(F.regexp_replace(fold(c), "[^A-Za-z0-9]", "")))
+    return let(F.upper(F.regexp_replace(fold(c), "[^A-Za-z0-9]", "")), null_if_empty)
 
 
 normalize_reference = normalize_code
@@ -152,8 +171,7 @@ def looks_like_cpt(c: Column) -> Column:
 def appears_in_text(value: Column, text: Column, field: Column) -> Column:
     """The value stands in the text when case, accents and punctuation are set aside; dates also in
     another numeric form of the same day. An empty value appears anywhere."""
-    needle = compact(value)
-    same_day = F.exists(F.regexp_extract_all(text, F.lit(r"([0-9][0-9/\-.]{4,12}[0-9])")), lambda d: normalize_date(d) == normalize_date(value))
-    return F.coalesce(F.when(~(F.length(value) > 0) | value.isNull() | (needle == ""), True)
-                      .when(F.contains(compact(text), needle), True)
-                      .when(kind_of(field) == "date", same_day), F.lit(False))
+    forms = F.regexp_extract_all(text, F.lit(r"([0-9][0-9/\-.]{4,12}[0-9])"))
+    same_day = let(normalize_date(value), lambda day: F.exists(forms, lambda d: normalize_date(d) == day))
+    stands = let(compact(value), lambda needle: (needle == "") | F.contains(compact(text), needle))
+    return F.coalesce(F.when(value.isNull() | (value == "") | stands, True).when(kind_of(field) == "date", same_day), F.lit(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -26,6 +27,11 @@ def _fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(one + drop), "".join(to), tuple(many)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: keeps expressions that use a value often from multiplying."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold(c: Column) -> Column:
     """Accents and compatibility forms folded, in the JVM; other scripts: arrow.strip_accents."""
     src, dst, many = _fold_table()
@@ -70,6 +76,8 @@ def present_in(text: Column, value: Column) -> Column:
 
 def character_accuracy(reference: Column, hypothesis: Column) -> Column:
     """1 - distance / length of the reference, at least 0, white space collapsed."""
-    r, h = squash(reference), squash(hypothesis)
-    return F.when(r == "", F.when(h == "", 1.0).otherwise(0.0)).otherwise(
-        F.greatest(F.lit(0.0), 1.0 - F.levenshtein(r, h) / F.length(r)))
+    def of(x):
+        r, h = x["r"], x["h"]
+        return F.when(r == "", F.when(h == "", 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), 1.0 - F.levenshtein(r, h) / F.length(r)))
+
+    return let(F.struct(squash(reference).alias("r"), squash(hypothesis).alias("h")), of)

@@ -19,7 +19,7 @@ def test_dates(spark):
              "DOS: 03/14/2025": "2025-03-14", "dated 5 sept 2020": "2020-09-05", "02/30/2025": None, "soon": None, "": None, None: None,
              "5 of 12": None, "13/13/2020": None, "1/2/31": "1931-01-02", " Fecha 3/4/2020; ": "2020-03-04"}
     assert values(spark, N.normalize_date, cases) == list(cases.values())
-    assert values(spark, lambda c: N.date_parts(c)[1], ["03/04/2025", "13/04/2025", "2025-03-04", "x", None]) == [True, False, False, False, False]
+    assert values(spark, lambda c: N.date_parts(c)["ambiguous"], ["03/04/2025", "13/04/2025", "2025-03-04", "x", None]) == [True, False, False, False, False]
 
 
 def test_amounts(spark):
