@@ -37,9 +37,9 @@ class Ranges:
 _bytes = Ranges(0x9E3779B97F4A7C15)
 
 
-def words(buf: bytes, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the runs of bytes b with part[b] == 0."""
+def words(buf: bytes, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, hashes and lengths of the runs of bytes b with part[b] == 0."""
     a = np.frombuffer(buf, np.uint8)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], part[a] == 0, [False]]).astype(np.int8)))
     start, stop = edge[::2], edge[1::2]
-    return start, _bytes(a.astype(np.uint64) + np.uint64(1), start, stop)
+    return start, _bytes(a.astype(np.uint64) + np.uint64(1), start, stop), stop - start

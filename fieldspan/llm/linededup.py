@@ -7,8 +7,6 @@ Lines that agree are compared by edit similarity; of each connected group one oc
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from itertools import combinations
 
 import numpy as np
@@ -16,79 +14,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, stored, table
 from .graph import components
+from .hashing import Ranges, words
 
 SIMILARITY, MIN_WORDS = 0.8, 2
+#: Lines of a block whose SimHashes differ in more bits are not compared (near copies differ in few).
+BITS = 12
+#: Words of so many bytes are long; with so many long words a line's SimHash leaves out the others.
+LONG_BYTES, LONG = 5, 3
 #: Bytes of text that are worked on at once (a longer line counts whole).
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 #: Edit similarity is taken over characters up to CHARS characters, over words up to WORDS words, and
 #: beyond that over runs of words that end where a word's hash is divisible by RUN.
-CHARS, WORDS, RUN = 2000, 20_000, 16
+CHARS, WORDS, RUN = 200, 20_000, 16
 _BLANK = bytes(i if 48 <= i <= 57 or 97 <= i <= 122 or 65 <= i <= 90 or i >= 128 or i == 10 else 32 for i in range(256))
 _CLASS = np.array([2 if i == 10 else 1 if _BLANK[i] == 32 else 0 for i in range(256)], np.uint8)
 _M64 = (1 << 64) - 1
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-class _Ranges:
-    """Hashes of many ranges of a sequence at once: differences of prefix sums of a polynomial modulo
-    2^64, shifted back by the inverse power of the odd base."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    def __call__(self, values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        if len(values) >= len(self.up):  # one more: an empty range may start behind the last value
-            self.up, self.down = _powers(self.base, len(values) + 1), _powers(self.inverse, len(values) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.up[:len(values)], dtype=np.uint64)])
-        return _mix((total[stop] - total[start]) * self.down[start])
-
-
-_byte, _word1, _word2 = _Ranges(0x9E3779B97F4A7C15), _Ranges(0xD6E8FEB86659FD93), _Ranges(0xA0761D6478BD642F)
+_word1, _word2 = Ranges(0xD6E8FEB86659FD93), Ranges(0xA0761D6478BD642F)
 
 
 def line_hashes(buf: bytes):
     """Of all lines of lower-cased text: number of words, two 64-bit keys and the SimHash, as arrays.
 
-    Words are runs of letters a-z, digits and bytes from 128 up; everything else only parts them."""
-    a = np.frombuffer(buf, np.uint8)
-    kind = _CLASS[a]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], kind == 0, [False]]).astype(np.int8)))
-    start, stop = edge[::2], edge[1::2]
-    breaks = np.flatnonzero(kind == 2)
+    Words are runs of letters a-z, digits and bytes from 128 up; everything else only parts them. The
+    keys are of all words; a line with at least LONG long words has the SimHash of these alone, since
+    short words are shared by lines that have nothing else in common."""
+    start, word, size = words(buf, _CLASS)
+    breaks = np.flatnonzero(np.frombuffer(buf, np.uint8) == 10)
     lines = len(breaks) + 1
-    words = _byte(a.astype(np.uint64) + np.uint64(1), start, stop)
     line = np.searchsorted(breaks, start)
     n = np.bincount(line, minlength=lines)
     last = np.cumsum(n)
-    first = last - n
-    k1, k2 = _word1(words, first, last), _word2(words, first, last)
+    k1, k2 = _word1(word, last - n, last), _word2(word, last - n, last)
+    is_long = size >= LONG_BYTES
+    use = is_long | (np.bincount(line, is_long, minlength=lines)[line] < LONG)
+    word, m = word[use], np.bincount(line[use], minlength=lines)
+    first, last = np.cumsum(m) - m, np.cumsum(m)
     sim = np.zeros(lines, np.uint64)
-    some = np.flatnonzero(n > 0)
-    if len(some):
-        at = 0
-        for group in np.array_split(some, max(1, len(words) // 100_000)):
-            if not len(group):
-                continue
+    for group in np.array_split(np.flatnonzero(m), max(1, len(word) // 100_000)):
+        if len(group):
             at, end = first[group[0]], last[group[-1]]
-            bits = np.unpackbits(words[at:end].view(np.uint8), bitorder="little").reshape(-1, 64)
+            bits = np.unpackbits(word[at:end].view(np.uint8), bitorder="little").reshape(-1, 64)
             ones = np.add.reduceat(bits, first[group] - at, axis=0, dtype=np.int32)
-            sim[group] = np.packbits(2 * ones > n[group][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+            sim[group] = np.packbits(2 * ones > m[group][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return n, k1, k2, sim
 
 
@@ -106,22 +77,22 @@ def _parts(text: str):
 
 
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """rid, line_no, k1, k2, sim of every line with at least min_words words; docs has rid and text."""
+    """id, rid, line_no, k1, k2, sim of every line with at least min_words words; docs has rid, text, _id."""
     def run(batches):
         for b in batches:
             rids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
             jobs: list[tuple[int, int, bytes]] = []  # row, number of its first line, bytes
             size = 0
 
-            def flush(jobs):
+            def flush(jobs, b=b, rids=rids):
                 n, k1, k2, sim = line_hashes(b"\n".join(j[2] for j in jobs))
                 count = np.array([j[2].count(b"\n") + 1 for j in jobs])
-                rid = np.repeat(rids[[j[0] for j in jobs]], count)
+                row = np.repeat(np.array([j[0] for j in jobs]), count)
                 no = np.arange(len(n)) - np.repeat(np.cumsum(count) - count, count) + np.repeat([j[1] for j in jobs], count)
                 ok = n >= min_words
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(rid[ok]), pa.array(no[ok].astype(np.int64)), *(pa.array(v[ok].view(np.int64)) for v in (k1, k2, sim))],
-                    names=["rid", "line_no", "k1", "k2", "sim"])
+                    [b.column(2).take(pa.array(row[ok])), pa.array(rids[row[ok]]), pa.array(no[ok].astype(np.int64)), *(pa.array(v[ok].view(np.int64)) for v in (k1, k2, sim))],
+                    names=["id", "rid", "line_no", "k1", "k2", "sim"])
 
             for i in range(len(texts)):
                 t = texts[i].as_py()
@@ -138,7 +109,8 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
             if jobs:
                 yield flush(jobs)
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, line_no long, k1 long, k2 long, sim long")
+    return docs.select("rid", "text", "_id").mapInArrow(
+        run, f"id {docs.schema['_id'].dataType.simpleString()}, rid long, line_no long, k1 long, k2 long, sim long")
 
 
 def tables_for(n: int) -> list[int]:
@@ -204,50 +176,41 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return both.where(F.col("x").isNotNull()).where(ok).select("a", "b")
 
 
-def _stored(docs: DataFrame) -> DataFrame:
-    """docs with rid, written once in buckets by rid: no later join has to shuffle the texts."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"fieldspan_lines_{uuid.uuid4().hex}"
-    (docs.withColumn("rid", F.monotonically_increasing_id()).repartition(n, "rid")
-     .write.option("compression", "zstd").bucketBy(n, "rid").saveAsTable(name))
-    atexit.register(_forget, spark, name)
-    return spark.table(name)
-
-
-def _forget(spark: SparkSession, name: str) -> None:
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-
 def groups(docs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (k1, k2, gid, first, n) and links (node, component) of those that have any."""
-    uniq = cut(lines.join(docs.select("rid", F.col("_id").alias("id")).hint("shuffle_hash"), "rid")
-               .groupBy("k1", "k2").agg(F.min(F.struct("id", "rid", "line_no")).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"))
+    uniq = cut(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "rid", "line_no")).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"))
                .withColumn("gid", F.monotonically_increasing_id()), "uniq_lines")
     masks = tables_for(uniq.count())
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("sim").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)])
-    rows = uniq.select("gid", F.explode(keys).alias("k")).select("gid", "k.t", "k.key")
-    block = Window.partitionBy("t", "key")
-    met = cut(rows.withColumn("leader", F.min("gid").over(block)).withColumn("m", F.count("*").over(block)).where("m > 1"), "met_lines")
+    # one long for table and block: rows are then sorted by radix
+    rows = uniq.select("gid", "sim", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("sim").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)])).alias("key"))
+    block = Window.partitionBy("key")
+    met = cut(rows.withColumn("leader", F.min(F.struct("gid", "sim")).over(block)).withColumn("m", F.count("*").over(block))
+              .where("m > 1").select("key", "gid", "sim", "m", F.col("leader.gid").alias("leader"), F.col("leader.sim").alias("leader_sim")), "met_lines")
+
+    def verified(pairs, label):
+        ids = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
+        wanted = uniq.join(ids, "gid").select("gid", "first.rid", "first.line_no")
+        return cut(_similar(pairs, cut(_texts(docs, wanted), "line_texts"), similarity), label)
+
     # first round: every member of a block with its leader
-    pairs = cut(met.where("gid <> leader").select(F.col("leader").alias("a"), F.col("gid").alias("b")).distinct(), "line_pairs")
-    ids = met.select("gid").distinct()
-    wanted = uniq.join(ids, "gid").select("gid", "first.rid", "first.line_no")
-    texts = cut(_texts(docs, wanted), "line_texts")
-    links = cut(_similar(pairs, texts, similarity), "line_links")
+    near = met.where((F.col("gid") != F.col("leader")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("leader_sim"))) <= BITS))
+    pairs = cut(near.select(F.col("leader").alias("a"), F.col("gid").alias("b")).distinct(), "line_pairs")
+    links = verified(pairs, "line_links")
     comp = components(links)
     # second round: only members of a block that are still in different groups, leaders apart
     open_ = met.where("m > 2 and gid <> leader").join(comp.withColumnRenamed("node", "gid"), "gid", "left").select(
-        "t", "key", "gid", F.coalesce("component", "gid").alias("c"))
-    mixed = open_.groupBy("t", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t", "key")
-    open_ = cut(open_.join(mixed, ["t", "key"]), "open_lines")
-    left = open_.alias("l").join(open_.alias("r"), (F.col("l.t") == F.col("r.t")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.c") < F.col("r.c")))
+        "key", "gid", "sim", F.coalesce("component", "gid").alias("c"))
+    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    open_ = cut(open_.join(mixed, "key"), "open_lines")
+    left = open_.alias("l").join(open_.alias("r"), (F.col("l.key") == F.col("r.key"))
+                                      & (F.col("l.c") < F.col("r.c")) & (F.bit_count(F.col("l.sim").bitwiseXOR(F.col("r.sim"))) <= BITS))
     more = left.select(F.least("l.gid", "r.gid").alias("a"), F.greatest("l.gid", "r.gid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    late = cut(_similar(more, texts, similarity), "late_links")
-    if late.limit(1).count():
-        comp = components(links.union(late))
+    more = cut(more, "late_pairs")
+    if more.limit(1).count():
+        late = verified(more, "late_links")
+        if late.limit(1).count():
+            comp = components(links.union(late))
     return uniq, comp
 
 
@@ -263,9 +226,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     own = ("rid", "n_lines", "n_dropped", "emptied", "_id")
     names = [c for c in docs.columns if c not in own and c != text_col]
-    stored = _stored(docs.select(*names, F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("_id")))
-    lines = cut(lines_of(stored, min_words), "lines")
-    uniq, comp = groups(stored, lines, similarity)
+    rows = stored(docs.select(*names, F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("_id")))
+    lines = cut(lines_of(rows, min_words), "lines")
+    uniq, comp = groups(rows, lines, similarity)
     named = uniq.join(comp.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
     stays = named.groupBy("component").agg(F.min("first").alias("stay"))
     # only groups of several occurrences lose any
@@ -274,7 +237,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone = (lines.select("rid", "line_no", "k1", "k2").join(fate, ["k1", "k2"])
             .where((F.col("rid") != F.col("stay_rid")) | (F.col("line_no") != F.col("stay_line")))
             .groupBy("rid").agg(F.collect_list("line_no").alias("gone")))
-    kinds = [stored.schema[c] for c in names]
+    kinds = [rows.schema[c] for c in names]
 
     def rebuild(batches):
         for b in batches:
@@ -297,7 +260,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     schema = T.StructType([*kinds, T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.IntegerType()),
                            T.StructField("n_dropped", T.IntegerType()), T.StructField("emptied", T.BooleanType())])
-    return stored.join(gone.hint("shuffle_hash"), "rid", "left").select("text", "gone", *names).mapInArrow(rebuild, schema)
+    return rows.join(gone.hint("shuffle_hash"), "rid", "left").select("text", "gone", *names).mapInArrow(rebuild, schema)
 
 
 def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

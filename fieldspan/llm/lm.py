@@ -33,7 +33,7 @@ START = np.uint64(0x57A4757A4757A475)
 #: Discounts of pairs seen once, twice, more often.
 DISCOUNTS = (0.9, 1.3, 1.6)
 #: Bytes of text that one batch of the scatter holds, and bytes that are hashed at once.
-BATCH, CHUNK = 8 << 20, 1 << 20
+BATCH, CHUNK = 8 << 20, 1 << 18
 #: A word whose share of a batch's tokens is at least 1 / LOCAL is counted as a candidate there; hot are
 #: candidates whose counted tokens make up 1 / HOT of all. Every word with a share of 3 / LOCAL is hot.
 LOCAL, HOT = 4000, 2000
@@ -63,7 +63,7 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 counts[at] += len(h)
                 s = e
         else:
-            start, h = words(b" ".join(group).lower(), _SPACE)
+            start, h, _ = words(b" ".join(group).lower(), _SPACE)
             ends = np.cumsum([len(t) + 1 for t in group])
             counts[at:at + len(group)] = np.bincount(np.searchsorted(ends, start, side="right"), minlength=len(group))
             parts.append(h)

@@ -68,7 +68,15 @@ def brute(docs, similarity=0.8, min_words=2):
     for i, a in enumerate(texts):
         for b in texts[i + 1:]:
             n = max(len(a), len(b))
-            if any((sim[a] ^ sim[b]) & m == 0 for m in masks) and abs(len(a) - len(b)) <= (1 - similarity) * n and lev(a, b) <= (1 - similarity) * n + 1e-9:
+            if len(a) > D.CHARS and len(b) > D.CHARS:
+                x, y = a.split(), b.split()
+                near = lev(x, y) <= (1 - similarity) * max(len(x), len(y)) + 1e-9
+            elif len(a) > D.CHARS or len(b) > D.CHARS:  # compared by words if both may be, else not similar
+                x, y = a.split(), b.split()
+                near = min(len(a), len(b)) >= similarity * D.CHARS and lev(x, y) <= (1 - similarity) * max(len(x), len(y)) + 1e-9
+            else:
+                near = lev(a, b) <= (1 - similarity) * n + 1e-9
+            if any((sim[a] ^ sim[b]) & m == 0 for m in masks) and (sim[a] ^ sim[b]).bit_count() <= D.BITS and near:
                 of[top(a)] = top(b)
     first = {}
     for o in sorted(occ, key=lambda o: (o[0] is not None, o[0] or 0, o[1], o[2])):
@@ -123,6 +131,7 @@ def test_forms():
     assert forms("The  CAT!") == ("the cat", None, None)
     c, w, r = forms("word " * 1000)
     assert c is None and len(w) == 1000 and r is None
+    assert forms("word " * 35)[0] and len(forms("word " * 35)[1]) == 35
     c, w, r = forms(" ".join(f"w{i}" for i in range(30_000)))
     assert c is None and w is None and 1000 < len(r) < 4000
-    assert D.forms("x" * 1700)[0] and D.forms("x" * 1700)[1]
+    assert D.forms("x" * 170)[0] and D.forms("x" * 170)[1]
