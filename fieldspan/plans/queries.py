@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..functions.arrow import similarity
+from ..functions.arrow import with_similarity
 from ..functions.text import character_accuracy, present_in
 from ..operators import align, errors, gold, layout, replay, rules, score, stats
 from ..operators.generator import corpus, draw
@@ -235,8 +235,9 @@ TYPED = "CASE WHEN title = 'EXPLANATION OF BENEFITS' OR title = 'HEALTH INSURANC
 
 
 @query(f"""WITH {X.RENDERED} SELECT doc_id, {TYPE_OF_TITLE} AS found_type, patient_name, document_reference, document_date,
-  CASE WHEN {TYPED} = 3 THEN total_charge END AS total_charge, CASE WHEN {TYPED} > 1 THEN payer_name END AS payer_name, CASE WHEN {TYPED} > 1 THEN member_id END AS member_id FROM rendered""")
+  CASE WHEN {TYPED} = 3 THEN total_charge END AS total_charge, CASE WHEN title = 'HEALTH INSURANCE CLAIM FORM' THEN 'CLAIM FORM' WHEN {TYPED} > 1 THEN payer_name END AS payer_name, CASE WHEN {TYPED} > 1 THEN member_id END AS member_id FROM rendered""")
 def rules_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """The word `insurance` of the claim form's title is a payer label too, and its two-word value wins."""
     found = rules.extract(X.rendered(spark, sf).select("doc_id", "text"), X.FIELDS)
     return found.select("doc_id", "found_type", *[F.try_element_at("fields", F.lit(f)).alias(f) for f in X.FIELDS])
 
@@ -372,9 +373,9 @@ def batch_export(spark: SparkSession, sf: str) -> DataFrame:
 def partial_score(spark: SparkSession, sf: str) -> DataFrame:
     """Matching-blocks ratio: an Arrow function over wrong values alone; right ones are 1, missing ones 0."""
     f = fact(spark, sf)
-    wrong = f.where("not correct and norm_gold is not null and norm_pred is not null").withColumn("partial", similarity("norm_gold", "norm_pred"))
-    rest = f.where("correct or norm_gold is null or norm_pred is null").withColumn("partial", F.when(F.col("correct"), 1.0).otherwise(0.0))
-    return wrong.unionByName(rest).groupBy("approach").agg(F.avg("partial").alias("partial_mean"))
+    wrong = with_similarity(f.where("not correct and norm_gold is not null and norm_pred is not null").select("approach", "norm_gold", "norm_pred"), "norm_gold", "norm_pred", "partial")
+    rest = f.where("correct or norm_gold is null or norm_pred is null").select("approach", F.when(F.col("correct"), 1.0).otherwise(0.0).alias("partial"))
+    return wrong.select("approach", "partial").unionByName(rest).groupBy("approach").agg(F.avg("partial").alias("partial_mean"))
 
 
 @query()
