@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import CHARS_PER_TOKEN, DOC_TYPES, FIELD_KINDS, USD_PER_MTOK_INPUT, USD_PER_MTOK_OUTPUT
+from .number import number_rows
 
 LINE = T.StructType([T.StructField(k, T.StringType()) for k in ("procedure_code", "date_of_service", "units", "charge", "paid")])
 
@@ -59,12 +60,8 @@ def replay(docs: DataFrame, answers: DataFrame, mode: str = "parity") -> DataFra
 
 
 def batches(docs: DataFrame, order: str = "doc_id", size: int = 15) -> DataFrame:
-    """docs with batch_id: `size` consecutive documents each. Numbers come from counts by range, not from
-    one sorted task: a range sort, its partitions' sizes, and places inside each."""
-    parts = docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    parts = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    before = parts.groupBy("_p").agg(F.count("*").alias("n")).withColumn("_b", F.sum("n").over(Window.orderBy("_p")) - F.col("n")).drop("n")
-    return parts.join(F.broadcast(before), "_p").withColumn("batch_id", F.floor((F.col("_b") + F.col("_i") - 1) / size)).drop("_p", "_i", "_b")
+    """docs with batch_id: `size` consecutive documents each."""
+    return number_rows(docs, order, name="_i").withColumn("batch_id", F.floor(F.col("_i") / size)).drop("_i")
 
 
 def usage_estimate(docs: DataFrame, text: str = "text", completion: int = 400) -> DataFrame:
