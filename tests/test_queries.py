@@ -1,11 +1,12 @@
 import math
+import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = sorted(n for n in entry.queries() if not n.startswith("op") and n != "pipeline")
 
 
