@@ -53,12 +53,35 @@ def windows(text: bytes):
     yield text[at:] if at else text
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: itself where it prints, else the next
+    free one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _one_piece(word: bytes) -> str | None:
+    """The word as the merging model sees it, if it is letters that normalising leaves alone."""
+    if word.isalpha():
+        return word.decode() if word.islower() else None
+    s = word.decode("utf-8", "replace")
+    if s.isalpha() and max(s) < "\u0180" and s == s.lower() and unicodedata.is_normalized("NFC", s):
+        return word.decode("latin-1").translate(_LETTERS)
+    return None
+
+
 class UnitTokenizer:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        self.raw: list[bytes] | None = None
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -82,8 +105,17 @@ class UnitTokenizer:
             self.young.update((w, old[w]) for w in known)
             new = new.difference(known)
         if new:
-            ask = list(new)
-            self.young.update(zip(ask, self._encode(ask), strict=True))
+            if self.raw is None:
+                self.raw = [self.kind.type(i).tobytes() for i in range(self.tok.get_vocab_size())]
+            merge, raw, rest = self.model.tokenize, self.raw, []
+            for w in new:
+                piece = _one_piece(w)
+                if piece is None:
+                    rest.append(w)
+                else:  # letters alone are one piece: straight to the merges, which is twice as fast
+                    self.young[w] = b"".join([raw[t.id] for t in merge(piece)])
+            if rest:
+                self.young.update(zip(rest, self._encode(rest), strict=True))
 
     def _flush(self, batch: list[bytes]) -> list[np.ndarray]:
         parts = [units(t) for t in batch]
