@@ -155,7 +155,7 @@ def top_fields_per_approach(spark: SparkSession, sf: str) -> DataFrame:
     return score.top_fields(fact(spark, sf).where("fp + fn > 0").withColumn("seq", F.col("field")), 3).select("approach", "field", "n", "rank")
 
 
-RESAMPLES = 20
+RESAMPLES = 1000
 F1 = "coalesce(2 * {t} / nullif(2 * {t} + {p} + {n}, 0), 0)"
 DRAWS = f"""docs AS (SELECT approach, doc_id, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, row_number() OVER (PARTITION BY approach ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY approach) AS n
     FROM outcomes GROUP BY approach, doc_id),
