@@ -39,7 +39,14 @@ _bytes = Ranges(0x9E3779B97F4A7C15)
 
 def words(buf: bytes, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, hashes and lengths of the runs of bytes b with part[b] == 0."""
+    return runs(buf, part, None)
+
+
+def runs(buf: bytes, part: np.ndarray, opens: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As words(); a byte marked in opens begins a run of its own inside another."""
     a = np.frombuffer(buf, np.uint8)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], part[a] == 0, [False]]).astype(np.int8)))
     start, stop = edge[::2], edge[1::2]
+    if opens is not None and len(inner := np.setdiff1d(np.flatnonzero(opens), start, assume_unique=True)):
+        start, stop = np.union1d(start, inner), np.union1d(stop, inner)
     return start, _bytes(a.astype(np.uint64) + np.uint64(1), start, stop), stop - start

@@ -1,66 +1,100 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, groups.
+"""Fuzzy line deduplication: SimHash of normalised lines, blocks of words, edit similarity, groups.
 
-Equal normalised lines meet in one row first. The 64 bits of a line's SimHash are cut into blocks;
-every choice of some blocks is a table, so two lines within 3 bits agree on all blocks of some table.
-Lines that agree are compared by edit similarity; of each connected group one occurrence stays.
+Equal normalised lines meet in one row first. At an edit similarity of 0.8 the SimHashes of two lines
+differ in up to 20 of 64 bits, so blocks of their bits miss most such pairs (they found 0.40 of them).
+The pigeonhole is therefore one of words: each table samples ROWS words of the line by least hash, and
+a pair meets in a table whose sample holds no changed word. Lines that meet and whose SimHashes and
+lengths allow it are compared by edit similarity; of each connected group one occurrence stays.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, stored, table
 from .graph import components
-from .hashing import Ranges, words
-
-SIMILARITY, MIN_WORDS = 0.8, 2
-#: Lines of a block whose SimHashes differ in more bits are not compared (near copies differ in few).
-BITS = 12
-#: Words of so many bytes are long; with so many long words a line's SimHash leaves out the others.
-LONG_BYTES, LONG = 5, 3
+from .hashing import Ranges, mix, runs
+
+SIMILARITY, MIN_WORDS = 0.8, 1
+#: Tables, and words that each samples: two lines that share the part j of their words meet in a table
+#: with chance 1 - (1 - j^ROWS)^TABLES, 0.985 at j = 0.75, 0.94 at j = 2/3.
+TABLES, ROWS = 8, 3
+#: Candidates whose SimHashes differ in more bits are not compared: lines that have nothing in common
+#: differ in 32 (deviation 4), pairs at the similarity in up to about 20.
+BITS = 22
+#: Words of so many bytes are long; a line with at least ROWS long words is sampled from these alone.
+LONG_BYTES = 5
+#: Members of a block that are compared with each other in one tile.
+TILE = 1024
 #: Bytes of text that are worked on at once (a longer line counts whole).
 CHUNK = 1 << 17
-#: Edit similarity is taken over characters up to CHARS characters, over words up to WORDS words, and
-#: beyond that over runs of words that end where a word's hash is divisible by RUN.
-CHARS, WORDS, RUN = 200, 20_000, 16
+#: Characters up to which the built-in edit distance is the faster one; the measure is the same beyond.
+SHORT = 1000
 _BLANK = bytes(i if 48 <= i <= 57 or 97 <= i <= 122 or 65 <= i <= 90 or i >= 128 or i == 10 else 32 for i in range(256))
 _CLASS = np.array([2 if i == 10 else 1 if _BLANK[i] == 32 else 0 for i in range(256)], np.uint8)
-_M64 = (1 << 64) - 1
-
+_ONES = np.uint64(0x0101010101010101)
+_odd = np.random.default_rng(9).integers(0, 1 << 63, (TABLES, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 _word1, _word2 = Ranges(0xD6E8FEB86659FD93), Ranges(0xA0761D6478BD642F)
 
 
-def line_hashes(buf: bytes):
-    """Of all lines of lower-cased text: number of words, two 64-bit keys and the SimHash, as arrays.
+def simhash(word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Majority of each bit over the n[i] words (n[i] > 0) of line i.
+
+    The 64 counters of a line are bytes of eight numbers, so 255 words are summed at once."""
+    pieces = -(-n // 255)
+    first = np.repeat(np.cumsum(n) - n, pieces) + 255 * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    whole = np.cumsum(pieces) - pieces
+    out = np.zeros(len(n), np.uint64)
+    for j in range(8):
+        count = np.add.reduceat((word >> np.uint64(j)) & _ONES, first).view(np.uint8).reshape(-1, 8)
+        if len(first) > len(n):
+            count = np.add.reduceat(count, whole, axis=0, dtype=np.int64)
+        out |= (2 * count.astype(np.int64) > n[:, None]).astype(np.uint8).view(np.uint64)[:, 0] << np.uint64(j)
+    return out
+
 
-    Words are runs of letters a-z, digits and bytes from 128 up; everything else only parts them. The
-    keys are of all words; a line with at least LONG long words has the SimHash of these alone, since
-    short words are shared by lines that have nothing else in common."""
-    start, word, size = words(buf, _CLASS)
-    breaks = np.flatnonzero(np.frombuffer(buf, np.uint8) == 10)
+def blocks(word: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Key of each line in each table: its number and the words with the least hashes of ROWS orders."""
+    first, keys = np.cumsum(n) - n, []
+    for t in range(TABLES):
+        key = np.full(len(n), t + 1, np.uint64)
+        for k in range(ROWS):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(word * _odd[t, k], first))
+        keys.append(key)
+    return keys
+
+
+def line_hashes(buf: bytes):
+    """Of all lines of lower-cased text: number of words, characters of the normalised line, two 64-bit
+    keys of all words in order, the SimHash and the block keys, as arrays.
+
+    Words are runs of letters a-z, digits and bytes from 128 up; everything else only parts them. Each
+    character from U+0800 up begins a word, so scripts without blanks have words too."""
+    a = np.frombuffer(buf, np.uint8)
+    start, word, size = runs(buf, _CLASS, a >= 0xE0)
+    breaks = np.flatnonzero(a == 10)
     lines = len(breaks) + 1
     line = np.searchsorted(breaks, start)
     n = np.bincount(line, minlength=lines)
     last = np.cumsum(n)
     k1, k2 = _word1(word, last - n, last), _word2(word, last - n, last)
-    is_long = size >= LONG_BYTES
-    use = is_long | (np.bincount(line, is_long, minlength=lines)[line] < LONG)
-    word, m = word[use], np.bincount(line[use], minlength=lines)
-    first, last = np.cumsum(m) - m, np.cumsum(m)
-    sim = np.zeros(lines, np.uint64)
-    for group in np.array_split(np.flatnonzero(m), max(1, len(word) // 100_000)):
-        if len(group):
-            at, end = first[group[0]], last[group[-1]]
-            bits = np.unpackbits(word[at:end].view(np.uint8), bitorder="little").reshape(-1, 64)
-            ones = np.add.reduceat(bits, first[group] - at, axis=0, dtype=np.int32)
-            sim[group] = np.packbits(2 * ones > m[group][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return n, k1, k2, sim
+    letters = np.concatenate([[0], np.cumsum((_CLASS[a] == 0) & ((a & 0xC0) != 0x80))])
+    gaps = np.bincount(line[1:], (line[1:] == line[:-1]) & (start[1:] > start[:-1] + size[:-1]), minlength=lines) if len(line) else np.zeros(lines)
+    chars = letters[np.append(breaks, len(a))] - letters[np.concatenate([[0], breaks + 1])] + gaps.astype(np.int64)
+    sim, keys = np.zeros(lines, np.uint64), [np.zeros(lines, np.uint64) for _ in range(TABLES)]
+    some = n > 0
+    if some.any():
+        sim[some] = simhash(word, n[some])
+        is_long = size >= LONG_BYTES
+        use = is_long | (np.bincount(line, is_long, minlength=lines)[line] < ROWS)
+        for out, key in zip(keys, blocks(word[use], np.bincount(line[use], minlength=lines)[some]), strict=True):
+            out[some] = key
+    return n, chars, k1, k2, sim, keys
 
 
 def _parts(text: str):
@@ -76,8 +110,14 @@ def _parts(text: str):
     yield low[at:] if at else low
 
 
+KEYS = tuple(f"b{t}" for t in range(TABLES))
+
+
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """id, rid, line_no, k1, k2, sim of every line with at least min_words words; docs has rid, text, _id."""
+    """id, rid, line_no, chars, k1, k2, sim and block keys of every line with at least min_words words;
+    docs has rid, text, id."""
+    names = ["id", "rid", "line_no", "chars", "k1", "k2", "sim", *KEYS]
+
     def run(batches):
         for b in batches:
             rids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
@@ -85,14 +125,14 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
             size = 0
 
             def flush(jobs, b=b, rids=rids):
-                n, k1, k2, sim = line_hashes(b"\n".join(j[2] for j in jobs))
+                n, chars, k1, k2, sim, keys = line_hashes(b"\n".join(j[2] for j in jobs))
                 count = np.array([j[2].count(b"\n") + 1 for j in jobs])
                 row = np.repeat(np.array([j[0] for j in jobs]), count)
                 no = np.arange(len(n)) - np.repeat(np.cumsum(count) - count, count) + np.repeat([j[1] for j in jobs], count)
                 ok = n >= min_words
                 return pa.RecordBatch.from_arrays(
-                    [b.column(2).take(pa.array(row[ok])), pa.array(rids[row[ok]]), pa.array(no[ok].astype(np.int64)), *(pa.array(v[ok].view(np.int64)) for v in (k1, k2, sim))],
-                    names=["id", "rid", "line_no", "k1", "k2", "sim"])
+                    [b.column(2).take(pa.array(row[ok])), pa.array(rids[row[ok]]), pa.array(no[ok].astype(np.int32)), pa.array(chars[ok].astype(np.int32)),
+                     *(pa.array(v[ok].view(np.int64)) for v in (k1, k2, sim, *keys))], names=names)
 
             for i in range(len(texts)):
                 t = texts[i].as_py()
@@ -109,103 +149,173 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
             if jobs:
                 yield flush(jobs)
 
-    return docs.select("rid", "text", "_id").mapInArrow(
-        run, f"id {docs.schema['_id'].dataType.simpleString()}, rid long, line_no long, k1 long, k2 long, sim long")
-
-
-def tables_for(n: int) -> list[int]:
-    """Masks of the tables for n lines: every choice of b - 3 of b blocks. Longer keys for more lines
-    keep the chance meetings of a line few at any size; the 3 bits are always covered."""
-    blocks = 5 if n <= 1 << 27 else 6 if n <= 1 << 33 else 7
-    ends = [64 * i // blocks for i in range(blocks + 1)]
-    part = [((1 << (b - a)) - 1) << a for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return [sum(part[i] for i in c) for c in combinations(range(blocks), blocks - 3)]
-
-
-def forms(line: str) -> tuple[str | None, str | None, str | None]:
-    """Normalised line for comparing by characters, by words, by runs of words (each where it is due)."""
-    words = line.lower().encode("utf-8", "replace").translate(_BLANK).split()
-    text = b" ".join(words).decode("utf-8", "replace")
-    chars = text if len(text) <= CHARS else None
-    if len(text) < SIMILARITY * CHARS:
-        return chars, None, None
-    import xxhash
-
-    code = [xxhash.xxh3_64_intdigest(w) for w in words]
-    as_char = lambda h: chr(0x100 + h % 0x8000)
-    by_word = "".join(map(as_char, code)) if len(code) <= WORDS else None
-    if len(code) < SIMILARITY * WORDS:
-        return chars, by_word, None
-    runs, h = [], 0
-    for c in code:
-        h = (h * 0x9E3779B1 + c) & _M64
-        if c % RUN == 0:
-            runs.append(as_char(h >> 20))
-            h = 0
-    return chars, by_word, "".join([*runs, as_char(h >> 20)])
+    kinds = [docs.schema["id"].dataType.simpleString(), "long", "int", "int", *["long"] * (3 + TABLES)]
+    return docs.select("rid", "text", "id").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+
+
+def normalised(line: str) -> str:
+    """The line in lower case with every run of other characters as one blank."""
+    return b" ".join(line.lower().encode("utf-8", "replace").translate(_BLANK).split()).decode("utf-8", "replace")
+
+
+def banded(a: str, b: str, k: int) -> int:
+    """Edit distance of a and b where it is at most k, else some number above k.
+
+    Bit-parallel columns of the distance table, cut to the diagonals -k to k: rows below the band count
+    as insertions, the row above it as growing, both of which only raise the result."""
+    m, n = len(a), len(b)
+    if abs(m - n) > k:
+        return k + 1
+    if not m:
+        return n
+    step = max(512, 2 * k)
+    lo, hi = 0, min(m, step + k)
+    grow, fall, score = (1 << hi) - 1, 0, hi
+    for j in range(0, n, step):
+        new_lo, new_hi = max(0, j - k), min(m, j + step + k)
+        grow = (grow >> (new_lo - lo)) | (((1 << (new_hi - hi)) - 1) << (hi - new_lo))
+        fall >>= new_lo - lo
+        score += new_hi - hi
+        lo, hi = new_lo, new_hi
+        full, top = (1 << (hi - lo)) - 1, (1 << (hi - lo)) >> 1
+        places: dict[str, int] = {}
+        at: dict[str, list[int]] = {}
+        for i, c in enumerate(a[lo:hi]):
+            at.setdefault(c, []).append(i)
+        for c, where in at.items():
+            bits = bytearray((hi - lo + 7) // 8)
+            for i in where:
+                bits[i >> 3] |= 1 << (i & 7)
+            places[c] = int.from_bytes(bits, "little")
+        for c in b[j:j + step]:
+            eq = places.get(c, 0)
+            zero = ((((eq | fall) & grow) + grow) ^ grow) | eq | fall
+            up = fall | (~(zero | grow) & full)
+            down = grow & zero
+            score += bool(up & top) - bool(down & top)
+            up = (up << 1 | 1) & full
+            down = (down << 1) & full
+            grow = down | (~(zero | up) & full)
+            fall = up & zero
+    return score
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most `most`; bands double, so few edits cost little."""
+    if a == b:
+        return True
+    s = 0
+    while s < min(len(a), len(b)) and a[s:s + 256] == b[s:s + 256]:
+        s += 256
+    a, b = a[s:], b[s:]
+    if not a or not b:
+        return max(len(a), len(b)) <= most
+    k = min(64, most)
+    while True:
+        if banded(a, b, k) <= k:
+            return True
+        if k >= most:
+            return False
+        k = min(4 * k, most)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """gid and the forms of the first occurrence of each wanted line (gid, rid, line_no)."""
+    """gid and the normalised form of the first occurrence of each wanted line (gid, rid, line_no)."""
     by_doc = wanted.groupBy("rid").agg(F.collect_list(F.struct("line_no", "gid")).alias("want"))
 
     def run(batches):
         for b in batches:
             for text, want in zip(b.column(0), b.column(1), strict=True):
                 lines = text.as_py().split("\n")
-                rows = [(w["gid"], *forms(lines[w["line_no"]])) for w in want.as_py()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), *[pa.string()] * 3), strict=True)],
-                                                 names=["gid", "c", "w", "r"])
+                rows = [(w["gid"], normalised(lines[w["line_no"]])) for w in want.as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string()), strict=True)], names=["gid", "line"])
 
-    return docs.select("rid", "text").join(by_doc.hint("shuffle_hash"), "rid").select("text", "want").mapInArrow(
-        run, "gid long, c string, w string, r string")
+    return docs.select("rid", "text").join(by_doc.hint("shuffle_hash"), "rid").select("text", "want").mapInArrow(run, "gid long, line string")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of gids whose lines have the edit similarity."""
-    one = lambda x: texts.select(F.col("gid").alias(x), *[F.col(k).alias(x + k) for k in "cwr"])
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
-    x = None
-    for k in "cwr":
-        there, pair = F.col("a" + k).isNotNull() & F.col("b" + k).isNotNull(), F.struct(F.col("a" + k).alias("l"), F.col("b" + k).alias("r"))
-        x = F.when(there, pair) if x is None else x.when(there, pair)
-    both = both.withColumn("x", x)
-    longest = "greatest(length(x.l), length(x.r))"
+    """The pairs (a, b) of gids whose lines have the edit similarity, in characters at any length."""
+    one = lambda x, y: texts.select(F.col("gid").alias(x), F.col("line").alias(y))
+    most = F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
+    both = pairs.select("a", "b").join(one("a", "x"), "a").join(one("b", "y"), "b").withColumn("most", most)
+    both = both.where(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
+    is_short = F.greatest(F.length("x"), F.length("y")) <= SHORT
     # the distance is computed only up to the bound; longer ones give -1
-    ok = F.expr(f"levenshtein(x.l, x.r, cast(floor({longest} * {1 - similarity:.6f} + 1e-9) as int)) >= 0")
-    return both.where(F.col("x").isNotNull()).where(ok).select("a", "b")
+    short = both.where(is_short).where("levenshtein(x, y, most) >= 0").select("a", "b")
+
+    def far(batches):
+        for b in batches:
+            ok = [within(x, y, k) for x, y, k in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+
+    long = both.where(~is_short).select("a", "b", "x", "y", "most").mapInArrow(far, "a long, b long")
+    return short.union(long)
+
+
+MET = "key long, gid long, sim long, chars int, leader long, leader_sim long, leader_chars int"
+
+
+def _meet(batches):
+    """Sorted rows (key, gid, sim, chars) in, every row that has the key of the one before it out, with the
+    first row of its key. The first and the last key of the partition may go on in other partitions:
+    their first rows come out too, as their own leaders."""
+    lead, opening = None, True  # first row of the key that the last batch ended with
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = [c.to_numpy() for c in b.columns]
+        key = rows[0]
+        new = np.concatenate([[lead is None or key[0] != lead[0]], key[1:] != key[:-1]])
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        own = begin >= 0  # the leader is in this batch
+        heads = [np.where(own, r[begin], lead[i] if lead is not None else 0) for i, r in enumerate(rows)]
+        out = ~new
+        out[0] |= opening
+        opening = False
+        yield pa.RecordBatch.from_arrays([pa.array(r[out]) for r in (*rows, *heads[1:])], names=[f.split()[0] for f in MET.split(", ")])
+        lead = [h[-1] for h in heads]
+    if lead is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([v])) for v in (*lead, *lead[1:])], names=[f.split()[0] for f in MET.split(", ")])
+
+
+def _alike(sim: str, chars: str, sim2: str, chars2: str, similarity: float):
+    """Lengths and SimHashes allow the similarity."""
+    return ((F.bit_count(F.col(sim).bitwiseXOR(F.col(sim2))) <= BITS)
+            & (F.least(chars, chars2) >= F.greatest(chars, chars2) * F.lit(similarity) - F.lit(1e-9)))
 
 
 def groups(docs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (k1, k2, gid, first, n) and links (node, component) of those that have any."""
-    uniq = cut(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "rid", "line_no")).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"))
+    uniq = cut(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "rid", "line_no")).alias("first"), F.count("*").alias("n"),
+                                             *[F.first(c).alias(c) for c in ("chars", "sim", *KEYS)])
                .withColumn("gid", F.monotonically_increasing_id()), "uniq_lines")
-    masks = tables_for(uniq.count())
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    # one long for table and block: rows are then sorted by radix
-    rows = uniq.select("gid", "sim", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("sim").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)])).alias("key"))
-    block = Window.partitionBy("key")
-    met = cut(rows.withColumn("leader", F.min(F.struct("gid", "sim")).over(block)).withColumn("m", F.count("*").over(block))
-              .where("m > 1").select("key", "gid", "sim", "m", F.col("leader.gid").alias("leader"), F.col("leader.sim").alias("leader_sim")), "met_lines")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # sorted by key and gid over ranges of both, so that a block of any size is spread over partitions
+    dealt = uniq.select(F.explode(F.array(*KEYS)).alias("key"), "gid", "sim", "chars").repartitionByRange(parts, "key", "gid").sortWithinPartitions("key", "gid")
+    met = cut(dealt.mapInArrow(_meet, MET), "met_lines")
 
     def verified(pairs, label):
         ids = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
-        wanted = uniq.join(ids, "gid").select("gid", "first.rid", "first.line_no")
+        wanted = uniq.select("gid", "first").join(ids, "gid").select("gid", "first.rid", "first.line_no")
         return cut(_similar(pairs, cut(_texts(docs, wanted), "line_texts"), similarity), label)
 
-    # first round: every member of a block with its leader
-    near = met.where((F.col("gid") != F.col("leader")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("leader_sim"))) <= BITS))
-    pairs = cut(near.select(F.col("leader").alias("a"), F.col("gid").alias("b")).distinct(), "line_pairs")
+    # first round: every member of a block with the leader of its partition, these leaders with the first of them
+    heads = met.where("gid = leader").groupBy("key").agg(F.min(F.struct("gid", "sim", "chars")).alias("g"), F.collect_set(F.struct("gid", "sim", "chars")).alias("h")).where("size(h) > 1")
+    across = heads.select("g", F.explode("h").alias("h")).where("g.gid <> h.gid").where(_alike("g.sim", "g.chars", "h.sim", "h.chars", similarity)).select(
+        F.col("g.gid").alias("a"), F.col("h.gid").alias("b"))
+    near = met.where("gid <> leader").where(_alike("sim", "chars", "leader_sim", "leader_chars", similarity))
+    pairs = cut(near.select(F.col("leader").alias("a"), F.col("gid").alias("b")).union(across).distinct(), "line_pairs")
     links = verified(pairs, "line_links")
     comp = components(links)
-    # second round: only members of a block that are still in different groups, leaders apart
-    open_ = met.where("m > 2 and gid <> leader").join(comp.withColumnRenamed("node", "gid"), "gid", "left").select(
-        "key", "gid", "sim", F.coalesce("component", "gid").alias("c"))
-    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    open_ = cut(open_.join(mixed, "key"), "open_lines")
-    left = open_.alias("l").join(open_.alias("r"), (F.col("l.key") == F.col("r.key"))
-                                      & (F.col("l.c") < F.col("r.c")) & (F.bit_count(F.col("l.sim").bitwiseXOR(F.col("r.sim"))) <= BITS))
-    more = left.select(F.least("l.gid", "r.gid").alias("a"), F.greatest("l.gid", "r.gid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    # second round: members of a block that are still in different groups, in tiles of a block
+    open_ = met.select("key", "gid", "sim", "chars").join(comp.withColumnRenamed("node", "gid"), "gid", "left").withColumn("c", F.coalesce("component", "gid")).drop("component")
+    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")).where("lo <> hi").select("key", "tiles")
+    open_ = cut(open_.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("gid"), F.col("tiles")).cast("int")), "open_lines")
+    left = open_.withColumn("j", F.explode(F.sequence("tile", F.col("tiles") - 1))).withColumnRenamed("tile", "i").alias("l")
+    right = open_.withColumn("i", F.explode(F.sequence(F.lit(0), "tile"))).withColumnRenamed("tile", "j").alias("r")
+    both = left.join(right, ["key", "i", "j"]).where((F.col("l.c") < F.col("r.c")) | ((F.col("i") < F.col("j")) & (F.col("l.c") != F.col("r.c"))))
+    both = both.where(_alike("l.sim", "l.chars", "r.sim", "r.chars", similarity))
+    more = both.select(F.least("l.gid", "r.gid").alias("a"), F.greatest("l.gid", "r.gid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = cut(more, "late_pairs")
     if more.limit(1).count():
         late = verified(more, "late_links")
@@ -217,19 +327,20 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFr
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of docs with the text without its dropped lines, and n_lines, n_dropped, emptied.
 
-    Lines are parted by newlines. Lines with fewer than min_words words are left alone. Of each group of
-    equal or similar lines the occurrence with the least (id, row, line number) stays, null ids first.
-    emptied: lines were dropped and no word is left. Null texts stay null, empty ones empty, each without
-    dropped lines; repeated rows are rows of their own, so the second one loses its lines; an empty
-    table gives no rows; own names (n_lines, n_dropped, emptied, rid) of docs must not clash: columns with
-    these names are replaced.
+    Lines are parted by newlines. Lines with fewer than min_words words are left alone (those without any
+    always are). Of each group of equal or similar lines the occurrence with the least (id, row, line number)
+    stays, null ids first. emptied: lines were dropped and no word is left. Null texts stay null, empty ones
+    empty, each without dropped lines; repeated rows are rows of their own, so the second one loses its
+    lines; an empty table gives no rows. Columns of docs may have any name: those called n_lines, n_dropped
+    and emptied give way to the results, all others come out as they are.
     """
-    own = ("rid", "n_lines", "n_dropped", "emptied", "_id")
-    names = [c for c in docs.columns if c not in own and c != text_col]
-    rows = stored(docs.select(*names, F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("_id")))
-    lines = cut(lines_of(rows, min_words), "lines")
+    own = ("n_lines", "n_dropped", "emptied", text_col)
+    names = [c for c in docs.columns if c not in own]
+    kept = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(None).cast("string").alias("none"))
+    rows = stored(docs.select(kept.alias("kept"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").alias("id")))
+    lines = cut(lines_of(rows, max(1, min_words)), "lines")
     uniq, comp = groups(rows, lines, similarity)
-    named = uniq.join(comp.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
+    named = uniq.select("k1", "k2", "gid", "first", "n").join(comp.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
     stays = named.groupBy("component").agg(F.min("first").alias("stay"))
     # only groups of several occurrences lose any
     fate = cut(named.join(stays, "component").where((F.col("n") > 1) | (F.col("first") != F.col("stay")))
@@ -237,30 +348,26 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone = (lines.select("rid", "line_no", "k1", "k2").join(fate, ["k1", "k2"])
             .where((F.col("rid") != F.col("stay_rid")) | (F.col("line_no") != F.col("stay_line")))
             .groupBy("rid").agg(F.collect_list("line_no").alias("gone")))
-    kinds = [rows.schema[c] for c in names]
 
     def rebuild(batches):
         for b in batches:
             texts, drops = b.column(0).to_pylist(), b.column(1).to_pylist()
             out, n_lines, n_dropped, emptied = [], [], [], []
             for t, d in zip(texts, drops, strict=True):
-                lines_ = t.split("\n") if t is not None else []
+                n_lines.append(t.count("\n") + 1 if t is not None else 0)
                 if d:
                     dead = set(d)
-                    kept = [x for i, x in enumerate(lines_) if i not in dead]
-                    t = "\n".join(kept)
+                    t = "\n".join([x for i, x in enumerate(t.split("\n")) if i not in dead])
                 out.append(t)
-                n_lines.append(len(lines_))
                 n_dropped.append(len(d) if d else 0)
                 emptied.append(bool(d) and not t.lower().encode("utf-8", "replace").translate(_BLANK).strip())
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(out, pa.string()), pa.array(n_lines, pa.int32()), pa.array(n_dropped, pa.int32()),
-                                              pa.array(emptied, pa.bool_())], names=[*names, text_col, "n_lines", "n_dropped", "emptied"])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(out, pa.string()), pa.array(n_lines, pa.int32()), pa.array(n_dropped, pa.int32()),
+                                              pa.array(emptied, pa.bool_())], names=["kept", "text", "n_lines", "n_dropped", "emptied"])
 
-    schema = T.StructType([*kinds, T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.IntegerType()),
+    schema = T.StructType([rows.schema["kept"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.IntegerType()),
                            T.StructField("n_dropped", T.IntegerType()), T.StructField("emptied", T.BooleanType())])
-    return rows.join(gone.hint("shuffle_hash"), "rid", "left").select("text", "gone", *names).mapInArrow(rebuild, schema)
+    done = rows.join(gone.hint("shuffle_hash"), "rid", "left").select("text", "gone", "kept").mapInArrow(rebuild, schema)
+    return done.select(*[F.col("kept").getField(c).alias(c) for c in names], F.col("text").alias(text_col), "n_lines", "n_dropped", "emptied")
 
 
 def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,11 @@ import re
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from fieldspan.llm import linededup as D
-from fieldspan.llm.linededup import dedup_lines, forms, line_hashes, op3_linededup, tables_for
+from fieldspan.llm.common import cut, stored
+from fieldspan.llm.linededup import banded, dedup_lines, line_hashes, normalised, op3_linededup, within
 
 SF = "/root/testdata/sf0.01"
 
@@ -15,76 +17,110 @@ def norm(line):
 
 
 def lev(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-    return row[-1]
+    """Whole columns of the distance table as the bits of one number."""
+    if not a:
+        return len(b)
+    at, full, top = {}, (1 << len(a)) - 1, 1 << (len(a) - 1)
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    plus, minus, d = full, 0, len(a)
+    for c in b:
+        same = at.get(c, 0)
+        v, h = same | minus, (((same & plus) + plus) ^ plus) | same
+        p, m = (minus | ~(h | plus)) & full, plus & h
+        d += bool(p & top) - bool(m & top)
+        p, m = (p << 1 | 1) & full, (m << 1) & full
+        plus, minus = (m | ~(v | p)) & full, p & v
+    return d
+
+
+def test_the_measure_itself():
+    assert [lev("kitten", "sitting"), lev("", "abc"), lev("abc", ""), lev("flaw", "lawn"), lev("same", "same")] == [3, 3, 3, 2, 0]
 
 
 def test_hashes_depend_on_normalised_words_alone():
-    n, k1, k2, sim = line_hashes(b"the cat, sat\n\n  the--cat   sat!\nthe cat sad\n x \nsat cat the")
-    assert n.tolist() == [3, 0, 3, 3, 1, 3]
-    assert k1[0] == k1[2] and k2[0] == k2[2] and sim[0] == sim[2]
+    n, chars, k1, k2, sim, keys = line_hashes("the cat, sat\n\n  the--cat   sat!\nthe cat sad\n é \nsat cat the\n".encode())
+    assert n.tolist() == [3, 0, 3, 3, 1, 3, 0] and chars.tolist() == [11, 0, 11, 11, 1, 11, 0]
+    assert k1[0] == k1[2] and k2[0] == k2[2] and sim[0] == sim[2] and all(k[0] == k[2] for k in keys)
     assert len({int(x) for x in k1[[0, 3, 5]]}) == 3 and sim[0] == sim[5]
     again = line_hashes(b"zzz zz\nthe cat sat")
-    assert again[1][1] == k1[0] and again[3][1] == sim[0]
-
-
-def test_simhash_equals_majority():
-    r = np.random.default_rng(0)
-    words = [bytes(r.integers(97, 123, 6).astype(np.uint8)) for _ in range(200)]
-    one = {w: int(line_hashes(w)[3][0]) for w in words}
-    line = words[:31]
-    want = sum(1 << i for i in range(64) if 2 * sum(one[w] >> i & 1 for w in line) > len(line))
-    assert int(line_hashes(b" ".join(line))[3][0]) == want
+    assert again[2][1] == k1[0] and again[4][1] == sim[0] and all(a[1] == k[0] for a, k in zip(again[5], keys, strict=True))
+    assert line_hashes(b"")[0].tolist() == [0]
+
+
+def test_scripts_without_blanks_have_words():
+    n, chars, *_ = line_hashes("東京都に住む人\nabc東京 def".encode())
+    assert n.tolist() == [7, 4] and chars.tolist() == [7, 9]
+    assert normalised("  東京都, Abc ") == "東京都 abc"
+
+
+@pytest.mark.parametrize("m", [1, 31, 255, 256, 1000])
+def test_simhash_equals_majority(m):
+    r = np.random.default_rng(m)
+    words = r.integers(0, 1 << 63, m + 3, np.uint64) * np.uint64(2) + r.integers(0, 2, m + 3).astype(np.uint64)
+    got = D.simhash(words, np.array([3, m]))
+    for line, have in zip((words[:3], words[3:]), got, strict=True):
+        assert int(have) == sum(1 << i for i in range(64) if 2 * sum(int(w) >> i & 1 for w in line) > len(line))
+
+
+def test_edit_distance_in_bands():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randrange(0, 60)))
+        b = "".join(c for c in a if rng.random() > 0.1) + "".join(rng.choice("abcd") for _ in range(rng.randrange(0, 9)))
+        d = lev(a, b)
+        for k in (1, 5, 20, 80):
+            got = banded(a, b, k)
+            assert got == d if d <= k else got > k
+        assert within(a, b, d) and (d == 0 or not within(a, b, d - 1))
+    a = "".join(rng.choice("abcdefgh ") for _ in range(6000))
+    b = list(a)
+    for i in sorted(rng.sample(range(6000), 500), reverse=True):
+        b[i:i + 1] = rng.choice([[], ["x"], [b[i], "y"]])
+    d = lev(a, "".join(b))
+    assert banded(a, "".join(b), 600) == d and within(a, "".join(b), d) and not within(a, "".join(b), d - 1)
+
+
+def roots(n, links):
+    of = list(range(n))
 
+    def top(x):
+        while of[x] != x:
+            of[x] = of[of[x]]
+            x = of[x]
+        return x
 
-def test_tables_cover_three_bits():
-    rng = random.Random(1)
-    for n in (1, 1 << 28, 1 << 34):
-        m = tables_for(n)
-        for _ in range(500):
-            bits = rng.sample(range(64), 3)
-            assert any(not any(k >> b & 1 for b in bits) for k in m)
+    for a, b in links:
+        of[top(a)] = top(b)
+    return [top(i) for i in range(n)]
 
 
-def brute(docs, similarity=0.8, min_words=2):
-    """docs: (id, text) in row order; the texts that stay when all pairs of lines that agree on some
-    table are compared."""
+def brute(docs, similarity=0.8, min_words=1):
+    """docs: (id, text) in row order; the texts that stay when all pairs of lines are compared."""
     occ = [(d, i, j, norm(line)) for i, (d, t) in enumerate(docs) if t for j, line in enumerate(t.split("\n"))]
     occ = [o for o in occ if len(o[3].split()) >= min_words]
     texts = sorted({o[3] for o in occ})
-    of = {t: t for t in texts}
-    sim = {t: int(line_hashes(t.encode())[3][0]) for t in texts}
-    masks = tables_for(len(texts))
-
-    def top(x):
-        while of[x] != x:
-            x = of[x]
-        return x
-
-    for i, a in enumerate(texts):
-        for b in texts[i + 1:]:
-            n = max(len(a), len(b))
-            if len(a) > D.CHARS and len(b) > D.CHARS:
-                x, y = a.split(), b.split()
-                near = lev(x, y) <= (1 - similarity) * max(len(x), len(y)) + 1e-9
-            elif len(a) > D.CHARS or len(b) > D.CHARS:  # compared by words if both may be, else not similar
-                x, y = a.split(), b.split()
-                near = min(len(a), len(b)) >= similarity * D.CHARS and lev(x, y) <= (1 - similarity) * max(len(x), len(y)) + 1e-9
-            else:
-                near = lev(a, b) <= (1 - similarity) * n + 1e-9
-            if any((sim[a] ^ sim[b]) & m == 0 for m in masks) and (sim[a] ^ sim[b]).bit_count() <= D.BITS and near:
-                of[top(a)] = top(b)
+    place = {t: i for i, t in enumerate(texts)}
+    import duckdb
+    import pandas as pd
+
+    frame = pd.DataFrame({"i": range(len(texts)), "t": texts})  # noqa: F841
+    links = duckdb.sql(f"""SELECT a.i, b.i FROM frame a JOIN frame b ON a.i < b.i AND least(length(a.t), length(b.t)) >= {similarity} * greatest(length(a.t), length(b.t)) - 1e-9
+      WHERE levenshtein(a.t, b.t) <= {1 - similarity:.6f} * greatest(length(a.t), length(b.t)) + 1e-9""").fetchall()
+    top = roots(len(texts), links)
     first = {}
     for o in sorted(occ, key=lambda o: (o[0] is not None, o[0] or 0, o[1], o[2])):
-        first.setdefault(top(o[3]), o[:3])
-    gone = {(o[1], o[2]) for o in occ if first[top(o[3])] != o[:3]}
+        first.setdefault(top[place[o[3]]], o[:3])
+    gone = {(o[1], o[2]) for o in occ if first[top[place[o[3]]]] != o[:3]}
     return [None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in gone) for i, (_, t) in enumerate(docs)]
 
 
+def check(got, docs):
+    have = sorted((r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "") for r in got)
+    exp = sorted((d is not None, d or 0, t is not None, t or "") for (d, _), t in zip(docs, brute(docs), strict=True))
+    assert have == exp
+
+
 def test_equals_brute_force_on_a_fixture(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8)))
@@ -98,17 +134,73 @@ def test_equals_brute_force_on_a_fixture(spark):
                 line[rng.randrange(len(line))] = word()
             lines.append(" ".join(line).capitalize() + rng.choice(["", ".", " !"]))
         docs.append((i, "\n".join(lines)))
-    docs += [(70, None), (71, ""), (72, "one\n\none\n..."), (73, docs[0][1]), (73, docs[0][1]), (None, base[0] + "\n" + "q " * 9000)]
-    df = spark.createDataFrame([(*d, 1, "z") for d in docs], "doc_id long, text string, rid int, kind string").coalesce(1)
-    got = dedup_lines(df).collect()
-    assert len(got) == len(docs) and got[0].kind == "z"
-    want = brute(docs)
-    have = sorted((r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "") for r in got)
-    exp = sorted((d is not None, d or 0, t is not None, t or "") for (d, _), t in zip(docs, want, strict=True))
-    assert have == exp
+    docs += [(70, None), (71, ""), (72, "one\n\none\n..."), (73, docs[0][1]), (73, docs[0][1]), (None, base[0] + "\n" + "q " * 300)]
+    # names that the operator uses inside
+    df = spark.createDataFrame([(*d, 1, "z", 5, "w") for d in docs], "doc_id long, text string, rid int, id string, n_lines int, kept string").coalesce(1)
+    got = dedup_lines(df)
+    assert got.columns == ["doc_id", "rid", "id", "kept", "text", "n_lines", "n_dropped", "emptied"]
+    got = got.collect()
+    assert {(r.rid, r.id, r.kept) for r in got} == {(1, "z", "w")}
+    check(got, docs)
     assert any(r.emptied for r in got) and dedup_lines(df.limit(0)).count() == 0
 
 
+def test_a_block_that_spans_partitions(spark, monkeypatch):
+    """All lines share their long words, so all tables have one block; tiles and partitions split it."""
+    monkeypatch.setattr(D, "TILE", 8)
+    rng = random.Random(2)
+    tails = ["".join(rng.choice("abc") for _ in range(4)) + " " + "".join(rng.choice("abc") for _ in range(4)) for _ in range(120)]
+    docs = [(i, f"{t[:4]} quarterly {t[5:]} revenue ledger") for i, t in enumerate(tails)]
+    # two families that no other line links
+    docs += [(200 + i, f"{'z' * (30 + i % 3)} quarterly {'y' * 30} revenue ledger {'x' * (30 + i % 2)}") for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = dedup_lines(df).collect()
+    check(got, docs)
+    assert sum(bool(r.text) for r in got) < 60
+
+
+def near_pairs(texts, similarity=0.8):
+    """All pairs with the edit similarity; bags of three-letter runs leave out what cannot have it."""
+    import duckdb
+    import pandas as pd
+
+    n = np.array([len(t) for t in texts])
+    bag = np.zeros((len(texts), 512), np.int16)
+    for i, t in enumerate(texts):
+        c = np.array([ord(x) for x in t], np.int64)
+        np.add.at(bag[i], (c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % 509, 1)
+    cand = []
+    for i in range(len(texts)):
+        hi = np.searchsorted(n, n[i] / similarity + 1e-9, side="right")
+        apart = np.abs(bag[i + 1:hi] - bag[i]).sum(1)  # an edit changes three runs on either side
+        cand += [(i, int(j)) for j in np.flatnonzero(apart <= 6 * (1 - similarity) * n[i + 1:hi] + 1e-9) + i + 1]
+    # by bytes the distance is between once and four times the one by characters
+    frame = pd.DataFrame([(i, j, texts[i], texts[j]) for i, j in cand], columns=["i", "j", "a", "b"])  # noqa: F841
+    close = duckdb.sql(f"SELECT i, j FROM frame WHERE levenshtein(a, b) <= 4 * ({1 - similarity:.6f} * greatest(length(a), length(b)) + 1e-9)").fetchall()
+    sure = {p for p in close if texts[p[0]].isascii() and texts[p[1]].isascii()}
+    ascii_ = duckdb.sql(f"SELECT i, j FROM frame WHERE levenshtein(a, b) <= {1 - similarity:.6f} * greatest(length(a), length(b)) + 1e-9").fetchall()
+    return [p for p in ascii_ if p in sure] + [p for p in close if p not in sure and lev(texts[p[0]], texts[p[1]]) <= (1 - similarity) * max(n[list(p)]) + 1e-9]
+
+
+def test_recall_over_all_lines_against_true_edit_similarity(spark):
+    """No bound of the method: every pair of distinct lines up to 200 characters."""
+    t = pq.read_table(f"{SF}/documents.parquet").to_pydict()
+    texts = sorted({n for x in t["text"] for line in x.split("\n") if (n := norm(line)) and len(n) <= 200}, key=lambda x: (len(x), x))
+    true = near_pairs(texts)
+    assert len(true) > 100
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = stored(df)
+    uniq, comp = D.groups(rows, cut(D.lines_of(rows, 1), "lines"), 0.8)
+    of = {r.first.id: r.component if r.component is not None else -r.gid - 1 for r in uniq.join(comp.withColumnRenamed("node", "gid"), "gid", "left").collect()}
+    found = sum(of[a] == of[b] for a, b in true)
+    print("recall", found / len(true), "of", len(true))
+    assert found >= 0.9 * len(true)
+    # and nothing is linked that the true pairs do not connect
+    top = roots(len(texts), true)
+    for group in {c: [i for i in of if of[i] == c] for c in set(of.values()) if c >= 0}.values():
+        assert len({top[i] for i in group}) == 1
+
+
 def test_exact_copies_over_all_documents(spark):
     t = pq.read_table(f"{SF}/documents.parquet").to_pydict()
     got = {r.doc_id: r for r in op3_linededup(spark, SF).collect()}
@@ -120,18 +212,8 @@ def test_exact_copies_over_all_documents(spark):
         left, before = set(kept), set(seen)
         for line in lines:
             n = norm(line)
-            if len(n.split()) >= 2:
+            if n:
                 assert n not in before or line not in left
                 seen.add(n)
             else:
                 assert line in left
-
-
-def test_forms():
-    assert forms("The  CAT!") == ("the cat", None, None)
-    c, w, r = forms("word " * 1000)
-    assert c is None and len(w) == 1000 and r is None
-    assert forms("word " * 35)[0] and len(forms("word " * 35)[1]) == 35
-    c, w, r = forms(" ".join(f"w{i}" for i in range(30_000)))
-    assert c is None and w is None and 1000 < len(r) < 4000
-    assert D.forms("x" * 170)[0] and D.forms("x" * 170)[1]
