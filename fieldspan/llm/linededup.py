@@ -15,17 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, stored, table
+from .common import cut, drop, stored, table
 from .graph import components
 from .hashing import Ranges, mix, runs
 
 SIMILARITY, MIN_WORDS = 0.8, 1
 #: Tables, and words that each samples: two lines that share the part j of their words meet in a table
-#: with chance 1 - (1 - j^ROWS)^TABLES, 0.985 at j = 0.75, 0.94 at j = 2/3.
-TABLES, ROWS = 8, 3
-#: Candidates whose SimHashes differ in more bits are not compared: lines that have nothing in common
-#: differ in 32 (deviation 4), pairs at the similarity in up to about 20.
-BITS = 22
+#: with chance 1 - (1 - j^ROWS)^TABLES, 0.985 at j = 0.8, 0.95 at j = 0.75.
+TABLES, ROWS = 8, 4
+#: Candidates of more than FEW characters whose SimHashes differ in more than BITS bits are not compared:
+#: other lines of one language differ in 24 or more on average, pairs with the similarity in up to 19, and
+#: half of them in at most 7. The SimHash of a shorter line has too few words to tell.
+BITS, FEW = 20, 120
 #: Words of so many bytes are long; a line with at least ROWS long words is sampled from these alone.
 LONG_BYTES = 5
 #: Members of a block that are compared with each other in one tile.
@@ -207,7 +208,10 @@ def within(a: str, b: str, most: int) -> bool:
     s = 0
     while s < min(len(a), len(b)) and a[s:s + 256] == b[s:s + 256]:
         s += 256
-    a, b = a[s:], b[s:]
+    a, b, s = a[s:], b[s:], 0
+    while s < min(len(a), len(b)) and a[len(a) - s - 256:len(a) - s] == b[len(b) - s - 256:len(b) - s] and s + 256 <= min(len(a), len(b)):
+        s += 256
+    a, b = a[:len(a) - s], b[:len(b) - s]
     if not a or not b:
         return max(len(a), len(b)) <= most
     k = min(64, most)
@@ -241,7 +245,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     both = both.where(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
     is_short = F.greatest(F.length("x"), F.length("y")) <= SHORT
     # the distance is computed only up to the bound; longer ones give -1
-    short = both.where(is_short).where("levenshtein(x, y, most) >= 0").select("a", "b")
+    # a narrow bound first: near copies pass it at a fraction of the cost
+    short = both.where(is_short).where("levenshtein(x, y, least(most, 12)) >= 0 or levenshtein(x, y, most) >= 0").select("a", "b")
 
     def far(batches):
         for b in batches:
@@ -280,7 +285,7 @@ def _meet(batches):
 
 def _alike(sim: str, chars: str, sim2: str, chars2: str, similarity: float):
     """Lengths and SimHashes allow the similarity."""
-    return ((F.bit_count(F.col(sim).bitwiseXOR(F.col(sim2))) <= BITS)
+    return (((F.bit_count(F.col(sim).bitwiseXOR(F.col(sim2))) <= BITS) | (F.greatest(chars, chars2) <= FEW))
             & (F.least(chars, chars2) >= F.greatest(chars, chars2) * F.lit(similarity) - F.lit(1e-9)))
 
 
@@ -297,7 +302,10 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFr
     def verified(pairs, label):
         ids = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
         wanted = uniq.select("gid", "first").join(ids, "gid").select("gid", "first.rid", "first.line_no")
-        return cut(_similar(pairs, cut(_texts(docs, wanted), "line_texts"), similarity), label)
+        texts = cut(_texts(docs, wanted), "line_texts")
+        out = cut(_similar(pairs, texts, similarity), label)
+        drop(texts)
+        return out
 
     # first round: every member of a block with the leader of its partition, these leaders with the first of them
     heads = met.where("gid = leader").groupBy("key").agg(F.min(F.struct("gid", "sim", "chars")).alias("g"), F.collect_set(F.struct("gid", "sim", "chars")).alias("h")).where("size(h) > 1")
@@ -311,12 +319,15 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFr
     open_ = met.select("key", "gid", "sim", "chars").join(comp.withColumnRenamed("node", "gid"), "gid", "left").withColumn("c", F.coalesce("component", "gid")).drop("component")
     mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")).where("lo <> hi").select("key", "tiles")
     open_ = cut(open_.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("gid"), F.col("tiles")).cast("int")), "open_lines")
+    drop(met)
     left = open_.withColumn("j", F.explode(F.sequence("tile", F.col("tiles") - 1))).withColumnRenamed("tile", "i").alias("l")
     right = open_.withColumn("i", F.explode(F.sequence(F.lit(0), "tile"))).withColumnRenamed("tile", "j").alias("r")
     both = left.join(right, ["key", "i", "j"]).where((F.col("l.c") < F.col("r.c")) | ((F.col("i") < F.col("j")) & (F.col("l.c") != F.col("r.c"))))
     both = both.where(_alike("l.sim", "l.chars", "r.sim", "r.chars", similarity))
     more = both.select(F.least("l.gid", "r.gid").alias("a"), F.greatest("l.gid", "r.gid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = cut(more, "late_pairs")
+    drop(open_)
+    drop(pairs)
     if more.limit(1).count():
         late = verified(more, "late_links")
         if late.limit(1).count():

@@ -150,9 +150,9 @@ def test_a_block_that_spans_partitions(spark, monkeypatch):
     monkeypatch.setattr(D, "TILE", 8)
     rng = random.Random(2)
     tails = ["".join(rng.choice("abc") for _ in range(4)) + " " + "".join(rng.choice("abc") for _ in range(4)) for _ in range(120)]
-    docs = [(i, f"{t[:4]} quarterly {t[5:]} revenue ledger") for i, t in enumerate(tails)]
+    docs = [(i, f"{t[:4]} quarterly {t[5:]} revenue ledger balance") for i, t in enumerate(tails)]
     # two families that no other line links
-    docs += [(200 + i, f"{'z' * (30 + i % 3)} quarterly {'y' * 30} revenue ledger {'x' * (30 + i % 2)}") for i in range(12)]
+    docs += [(200 + i, f"{'z' * (30 + i % 3)} quarterly {'y' * 30} revenue ledger balance {'x' * (30 + i % 2)}") for i in range(12)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = dedup_lines(df).collect()
     check(got, docs)
