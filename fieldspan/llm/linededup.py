@@ -33,8 +33,10 @@ LONG_BYTES = 5
 TILE = 1024
 #: Bytes of text that are worked on at once (a longer line counts whole).
 CHUNK = 1 << 17
-#: Characters up to which the built-in edit distance is the faster one; the measure is the same beyond.
+#: Characters from which narrow bands are tried before the one of the bound.
 SHORT = 1000
+#: Leaders of a block, about, that all its members are compared with before its tiles.
+LEADERS = 8
 _BLANK = bytes(i if 48 <= i <= 57 or 97 <= i <= 122 or 65 <= i <= 90 or i >= 128 or i == 10 else 32 for i in range(256))
 _CLASS = np.array([2 if i == 10 else 1 if _BLANK[i] == 32 else 0 for i in range(256)], np.uint8)
 _ONES = np.uint64(0x0101010101010101)
@@ -159,6 +161,16 @@ def normalised(line: str) -> str:
     return b" ".join(line.lower().encode("utf-8", "replace").translate(_BLANK).split()).decode("utf-8", "replace")
 
 
+class _Is(dict):
+    """Translation table: one character to 1, all others to 0."""
+
+    def __init__(self, c: str):
+        super().__init__({ord(c): "1"})
+
+    def __missing__(self, _):
+        return "0"
+
+
 def banded(a: str, b: str, k: int) -> int:
     """Edit distance of a and b where it is at most k, else some number above k.
 
@@ -180,14 +192,9 @@ def banded(a: str, b: str, k: int) -> int:
         lo, hi = new_lo, new_hi
         full, top = (1 << (hi - lo)) - 1, (1 << (hi - lo)) >> 1
         places: dict[str, int] = {}
-        at: dict[str, list[int]] = {}
-        for i, c in enumerate(a[lo:hi]):
-            at.setdefault(c, []).append(i)
-        for c, where in at.items():
-            bits = bytearray((hi - lo + 7) // 8)
-            for i in where:
-                bits[i >> 3] |= 1 << (i & 7)
-            places[c] = int.from_bytes(bits, "little")
+        window = a[lo:hi]
+        for c in set(window):  # the places of a character as the bits of one number
+            places[c] = int(window[::-1].translate(_Is(c)), 2)
         for c in b[j:j + step]:
             eq = places.get(c, 0)
             zero = ((((eq | fall) & grow) + grow) ^ grow) | eq | fall
@@ -201,20 +208,30 @@ def banded(a: str, b: str, k: int) -> int:
     return score
 
 
+def _shared(a: str, b: str) -> int:
+    """Length of the common beginning, by halving."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) >> 1
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
 def within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most `most`; bands double, so few edits cost little."""
-    if a == b:
-        return True
-    s = 0
-    while s < min(len(a), len(b)) and a[s:s + 256] == b[s:s + 256]:
-        s += 256
-    a, b, s = a[s:], b[s:], 0
-    while s < min(len(a), len(b)) and a[len(a) - s - 256:len(a) - s] == b[len(b) - s - 256:len(b) - s] and s + 256 <= min(len(a), len(b)):
-        s += 256
+    """Whether the edit distance is at most `most`. Common ends cost nothing; bands widen, so few edits in
+    long lines cost little."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    s = _shared(a, b)
+    a, b = a[s:], b[s:]
+    s = _shared(a[::-1], b[::-1])
     a, b = a[:len(a) - s], b[:len(b) - s]
-    if not a or not b:
+    if not a or not b or max(len(a), len(b)) <= most:
         return max(len(a), len(b)) <= most
-    k = min(64, most)
+    k = most if len(a) <= SHORT else min(64, most)
     while True:
         if banded(a, b, k) <= k:
             return True
@@ -242,19 +259,13 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     one = lambda x, y: texts.select(F.col("gid").alias(x), F.col("line").alias(y))
     most = F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
     both = pairs.select("a", "b").join(one("a", "x"), "a").join(one("b", "y"), "b").withColumn("most", most)
-    both = both.where(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
-    is_short = F.greatest(F.length("x"), F.length("y")) <= SHORT
-    # the distance is computed only up to the bound; longer ones give -1
-    # a narrow bound first: near copies pass it at a fraction of the cost
-    short = both.where(is_short).where("levenshtein(x, y, least(most, 12)) >= 0 or levenshtein(x, y, most) >= 0").select("a", "b")
 
-    def far(batches):
+    def run(batches):
         for b in batches:
             ok = [within(x, y, k) for x, y, k in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
 
-    long = both.where(~is_short).select("a", "b", "x", "y", "most").mapInArrow(far, "a long, b long")
-    return short.union(long)
+    return both.select("a", "b", "x", "y", "most").mapInArrow(run, "a long, b long")
 
 
 MET = "key long, gid long, sim long, chars int, leader long, leader_sim long, leader_chars int"
@@ -289,6 +300,16 @@ def _alike(sim: str, chars: str, sim2: str, chars2: str, similarity: float):
             & (F.least(chars, chars2) >= F.greatest(chars, chars2) * F.lit(similarity) - F.lit(1e-9)))
 
 
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only the groups that these join are gone through again."""
+    c = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias("c" + x))
+    between = links.join(c("a"), "a", "left").join(c("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(between)
+    alone = between.select(F.col("a").alias("node")).union(between.select("b")).distinct().join(comp, "node", "left_anti").select("node", F.col("node").alias("component"))
+    new = comp.union(alone).join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
+    return cut(new.select("node", F.coalesce("now", "component").alias("component")), "line_groups")
+
+
 def groups(docs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (k1, k2, gid, first, n) and links (node, component) of those that have any."""
     uniq = cut(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "rid", "line_no")).alias("first"), F.count("*").alias("n"),
@@ -315,23 +336,26 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFr
     pairs = cut(near.select(F.col("leader").alias("a"), F.col("gid").alias("b")).union(across).distinct(), "line_pairs")
     links = verified(pairs, "line_links")
     comp = components(links)
-    # second round: members of a block that are still in different groups, in tiles of a block
+    # second round: blocks of several groups, every member with about LEADERS of them, drawn by hash
     open_ = met.select("key", "gid", "sim", "chars").join(comp.withColumnRenamed("node", "gid"), "gid", "left").withColumn("c", F.coalesce("component", "gid")).drop("component")
-    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")).where("lo <> hi").select("key", "tiles")
-    open_ = cut(open_.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("gid"), F.col("tiles")).cast("int")), "open_lines")
+    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
+    open_ = cut(open_.join(mixed, "key"), "open_lines")
     drop(met)
+    leads = open_.where(F.pmod(F.xxhash64("gid", "key"), F.col("m")) < LEADERS)
+    both = leads.alias("l").join(open_.alias("r"), "key").where((F.col("l.c") != F.col("r.c")) & _alike("l.sim", "l.chars", "r.sim", "r.chars", similarity))
+    ordered = lambda both: both.select(F.least("l.gid", "r.gid").alias("a"), F.greatest("l.gid", "r.gid").alias("b")).distinct()
+    more = cut(ordered(both).join(pairs, ["a", "b"], "left_anti"), "late_pairs")
+    comp = _merged(comp, verified(more, "late_links")) if more.limit(1).count() else comp
+    # third round: blocks with more members than leaders that still hold several groups, in tiles
+    open_ = open_.where(F.col("m") > LEADERS).drop("c").join(comp.withColumnRenamed("node", "gid"), "gid", "left").withColumn("c", F.coalesce("component", "gid"))
+    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")).where("lo <> hi").select("key", "tiles")
+    open_ = cut(open_.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("gid"), F.col("tiles")).cast("int")).select("key", "gid", "sim", "chars", "c", "tiles", "tile"), "tiled_lines")
     left = open_.withColumn("j", F.explode(F.sequence("tile", F.col("tiles") - 1))).withColumnRenamed("tile", "i").alias("l")
     right = open_.withColumn("i", F.explode(F.sequence(F.lit(0), "tile"))).withColumnRenamed("tile", "j").alias("r")
     both = left.join(right, ["key", "i", "j"]).where((F.col("l.c") < F.col("r.c")) | ((F.col("i") < F.col("j")) & (F.col("l.c") != F.col("r.c"))))
     both = both.where(_alike("l.sim", "l.chars", "r.sim", "r.chars", similarity))
-    more = both.select(F.least("l.gid", "r.gid").alias("a"), F.greatest("l.gid", "r.gid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(more, "late_pairs")
-    drop(open_)
-    drop(pairs)
-    if more.limit(1).count():
-        late = verified(more, "late_links")
-        if late.limit(1).count():
-            comp = components(links.union(late))
+    last = cut(ordered(both).join(pairs.union(more), ["a", "b"], "left_anti"), "last_pairs")
+    comp = _merged(comp, verified(last, "last_links")) if last.limit(1).count() else comp
     return uniq, comp
 
 
