@@ -168,10 +168,12 @@ def looks_like_cpt(c: Column) -> Column:
     return F.coalesce(F.upper(strip(c)).rlike(f"^{CPT}$"), F.lit(False))
 
 
-def appears_in_text(value: Column, text: Column, field: Column) -> Column:
+def appears_in_text(value: Column, text: Column, field: Column, compacted: Column | None = None) -> Column:
     """The value stands in the text when case, accents and punctuation are set aside; dates also in
-    another numeric form of the same day. An empty value appears anywhere."""
+    another numeric form of the same day. An empty value appears anywhere. compacted: compact(text), where
+    it is at hand."""
+    page = compact(text) if compacted is None else compacted
     forms = F.regexp_extract_all(text, F.lit(r"([0-9][0-9/\-.]{4,12}[0-9])"))
     same_day = let(normalize_date(value), lambda day: F.exists(forms, lambda d: normalize_date(d) == day))
-    stands = let(compact(value), lambda needle: (needle == "") | F.contains(compact(text), needle))
+    stands = let(compact(value), lambda needle: (needle == "") | F.contains(page, needle))
     return F.coalesce(F.when(value.isNull() | (value == "") | stands, True).when(kind_of(field) == "date", same_day), F.lit(False))

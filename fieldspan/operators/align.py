@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrow import fuzzy_span
-from ..functions.text import compact, fold, squash
+from ..constants import FUZZY_THRESHOLD
+from ..functions.text import compact, let, squash
 
 SPAN = "struct<start:int,end:int,method:string,score:double,occurrences:int>"
 RANK = {"exact": 4, "whitespace": 3, "compact": 2, "fuzzy": 1}
@@ -31,37 +31,71 @@ def white_space(text: Column, value: Column) -> Column:
     return F.when((squash(value) != "") & (at > 0), _span(at - 1, at - 1 + F.length(F.regexp_substr(text, pattern)), "whitespace", F.regexp_count(text, pattern)))
 
 
+def compact_characters(text: Column) -> Column:
+    """The letters and digits of the folded text as (i, c); i is the place of the character of the text that
+    c comes from, so one that folds into several gives its place to each of them."""
+    pieces = F.transform(F.split(text, ""), lambda ch, i: F.transform(F.split(compact(ch), ""), lambda c: F.struct(i.alias("i"), c.alias("c"))))
+    return F.filter(F.flatten(pieces), lambda s: s["c"] != "")
+
+
+def _joined(chars: Column) -> Column:
+    return F.array_join(F.transform(chars, lambda s: s["c"]), "")
+
+
 def compact_match(text: Column, value: Column) -> Column:
     """Letters and digits alone, folded; offsets are those of the characters themselves."""
-    chars = F.filter(F.transform(F.split(text, ""), lambda c, i: F.struct(i.alias("i"), F.lower(fold(c)).alias("c"))), lambda s: s["c"].rlike(r"[\p{L}\p{Nd}]"))
-    needle = compact(value)
-    hay = F.regexp_replace(F.array_join(F.transform(chars, lambda s: F.regexp_replace(s["c"], "[^a-z0-9]", "")), ""), " ", "")
-    at = F.instr(hay, needle)
-    plain = F.filter(chars, lambda s: s["c"].rlike("^[a-z0-9]$"))
-    n = (F.length(hay) - F.length(F.replace(hay, needle, F.lit("")))) / F.length(needle)
-    same = F.size(plain) == F.length(hay)  # a character that folds into several keeps no single place
-    return F.when((needle != "") & (at > 0) & same, _span(F.try_element_at(plain, at)["i"], F.try_element_at(plain, at + F.length(needle) - 1)["i"] + 1, "compact", n))
+    def of(x):
+        hay, needle = x["hay"], x["needle"]
+        at = F.instr(hay, needle)
+        n = (F.length(hay) - F.length(F.replace(hay, needle, F.lit("")))) / F.length(needle)
+        first, last = (F.try_element_at(x["chars"], k)["i"] for k in (at, at + F.length(needle) - 1))
+        return F.when((needle != "") & (at > 0), _span(first, last + 1, "compact", n))
+
+    return let(let(compact_characters(text), lambda c: F.struct(c.alias("chars"), _joined(c).alias("hay"), compact(value).alias("needle"))), of)
+
+
+def fuzzy_match(text: Column, value: Column) -> Column:
+    """The window of the compacted text closest to a value of at least four letters or digits.
+
+    A window scores 100 * (1 - edit distance / the longer length) and must reach the threshold, which
+    leaves few edits: the value is cut into one run more than these, so one run stands in the text as it
+    is, and only windows around such places are measured. Of equal scores the first, then the shorter one."""
+    loss = 1 - FUZZY_THRESHOLD / 100
+
+    def of(x):
+        hay, needle, n = x["hay"], x["needle"], F.length(x["needle"])
+        edits = F.ceil(n * F.lit(loss)).cast("int")
+        cut = lambda r: F.floor(r * n / (edits + 1)).cast("int")  # noqa: E731  where run r begins
+        seeds = F.flatten(F.transform(F.sequence(F.lit(0), edits), lambda r: F.transform(
+            F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(hay))), lambda at: F.substring(hay, at, cut(r + 1) - cut(r)) == F.substring(needle, cut(r) + 1, cut(r + 1) - cut(r))),
+            lambda at: at - cut(r))))
+        around = F.array_distinct(F.flatten(F.transform(seeds, lambda at: F.sequence(at - edits, at + edits))))
+        around = F.filter(around, lambda at: (at >= 1) & (at <= F.length(hay)))
+        sizes = F.sequence(F.greatest(F.lit(1), n - edits), n + edits)
+        windows = F.flatten(F.transform(around, lambda at: F.transform(F.filter(sizes, lambda w: at + w - 1 <= F.length(hay)), lambda w: F.struct(
+            (F.lit(-100.0) * (1 - F.levenshtein(needle, F.substring(hay, at, w)) / F.greatest(n, w))).alias("k"), at.alias("at"), w.alias("w")))))
+        best = F.array_min(windows)
+        place = lambda k: F.try_element_at(x["chars"], k)["i"]
+        return F.when(n >= 4, let(best, lambda b: F.when(b["k"] <= -FUZZY_THRESHOLD, F.struct(
+            place(b["at"]).cast("int").alias("start"), (place(b["at"] + b["w"] - 1) + 1).cast("int").alias("end"), F.lit("fuzzy").alias("method"),
+            (-b["k"]).alias("score"), F.lit(1).alias("occurrences")))))
+
+    return let(let(compact_characters(text), lambda c: F.struct(c.alias("chars"), _joined(c).alias("hay"), compact(value).alias("needle"))), of)
 
 
 def find_spans(values: DataFrame, text: str = "text", value: str = "value", fuzzy: bool = True) -> DataFrame:
-    """values with start, end, method, score, occurrences. The built-in rungs run in the JVM, cheapest
-    first; only rows that none of them has found reach the Arrow function."""
+    """values with start, end, method, score, occurrences (columns of these names give way). All rungs run
+    in the JVM, cheapest first, each on rows that none before it has found. Null or empty values and texts
+    have method none; an empty table gives no rows; repeated rows are rows of their own."""
     t, v = F.col(text), F.col(value)
     ok = (F.length(v) > 0) & (F.length(t) > 0)
-    found = values.withColumn("_s", F.when(ok, exact(t, v)))
-    found = found.withColumn("_s", F.when(F.col("_s").isNull() & ok, white_space(t, v)).otherwise(F.col("_s")))
-    found = found.withColumn("_s", F.when(F.col("_s").isNull() & ok, compact_match(t, v)).otherwise(F.col("_s")))
+    own = ("start", "end", "method", "score", "occurrences")
+    found = values.drop(*own).withColumn("_s", F.when(ok, exact(t, v)))
+    for rung in (white_space, compact_match, *([fuzzy_match] if fuzzy else [])):
+        found = found.withColumn("_s", F.when(F.col("_s").isNull() & ok, rung(t, v)).otherwise(F.col("_s")))
     none = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit("none").alias("method"), F.lit(0.0).alias("score"),
                     F.lit(0).alias("occurrences"))
-    done = found.where(F.col("_s").isNotNull())
-    left = found.where(F.col("_s").isNull())
-    if fuzzy:
-        left = left.withColumn("_f", fuzzy_span(t, v)).withColumn("_s", F.when(F.col("_f.start").isNotNull(), F.struct(
-            F.col("_f.start").alias("start"), F.col("_f.end").alias("end"), F.lit("fuzzy").alias("method"), F.col("_f.score").alias("score"),
-            F.lit(1).alias("occurrences"))).otherwise(none)).drop("_f")
-    else:
-        left = left.withColumn("_s", none)
-    return done.unionByName(left).select(*values.columns, "_s.*")
+    return found.withColumn("_s", F.coalesce("_s", none)).select(*[c for c in values.columns if c not in own], "_s.*")
 
 
 def resolve_overlaps(spans: DataFrame) -> DataFrame:

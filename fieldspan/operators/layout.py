@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,25 +19,24 @@ def group_into_lines(boxes: DataFrame, tolerance: float | None = None) -> DataFr
     """boxes (doc_id, pos, text, page, x0, y0, x1, y1) with line_idx and place (order on the line).
 
     A word joins the current line if it is on its page and its centre is within the tolerance of the mean
-    centre of the words so far; the mean moves with each word, so this is a fold over a document's words:
-    one group per document, as large as a document."""
-    def one(doc: pd.DataFrame) -> pd.DataFrame:
-        mid = (doc.y0 + doc.y1) / 2
-        heights = sorted(doc.y1 - doc.y0)
-        limit = max(3.0, (heights[len(heights) // 2] or 8.0) * LINE_GAP) if tolerance is None else tolerance
-        doc = doc.assign(mid=mid).sort_values(["page", "mid", "x0"], kind="stable")
-        line, total, n, page, numbers = -1, 0.0, 0, None, []
-        for p, m in zip(doc.page, doc.mid, strict=True):
-            if n and p == page and abs(m - total / n) <= limit:
-                total, n = total + m, n + 1
-            else:
-                line, total, n, page = line + 1, m, 1, p
-            numbers.append(line)
-        doc = doc.assign(line_idx=numbers).sort_values(["line_idx", "x0"], kind="stable")
-        return doc.assign(place=doc.groupby("line_idx").cumcount()).drop(columns="mid")
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema.fields)
-    return boxes.groupBy("doc_id").applyInPandas(one, f"{kinds}, line_idx long, place long")
+    centre of the words so far; the mean moves with each word, so the line numbers come from a fold over
+    the sorted array of a document's words. Equal places keep the order of pos."""
+    item = F.struct("page", ((F.col("y0") + F.col("y1")) / 2).alias("mid"), "x0", "pos", F.struct(*boxes.columns).alias("box"))
+    docs = boxes.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"), upper_median(F.collect_list(F.col("y1") - F.col("y0"))).alias("h"))
+    usual = F.greatest(F.lit(3.0), F.when(F.col("h") != 0, F.col("h")).otherwise(8.0) * LINE_GAP)
+    docs = docs.withColumn("reach", usual if tolerance is None else F.lit(float(tolerance)))
+
+    def step(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        stays = F.coalesce((last["page"] == x["page"]) & (F.abs(x["mid"] - last["sum"] / last["n"]) <= F.col("reach")), F.lit(False))
+        return F.concat(acc, F.array(F.struct(
+            F.when(stays, last["line"]).otherwise(F.coalesce(last["line"] + 1, F.lit(0))).alias("line"), F.when(stays, last["sum"] + x["mid"]).otherwise(x["mid"]).alias("sum"),
+            F.when(stays, last["n"] + 1).otherwise(1).alias("n"), x["page"].cast("long").alias("page"))))
+
+    lines = F.aggregate("items", F.expr("cast(array() as array<struct<line:int,sum:double,n:int,page:bigint>>)"), step)
+    rows = docs.select("doc_id", F.posexplode(F.arrays_zip("items", lines.alias("lines"))).alias("seq", "z")).select("doc_id", "seq", "z.items.box", F.col("z.lines.line").cast("long").alias("line_idx"))
+    across = Window.partitionBy("doc_id", "line_idx").orderBy("box.x0", "seq")
+    return rows.withColumn("place", F.row_number().over(across).cast("long") - 1).select("box.*", "line_idx", "place")
 
 
 def assemble(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:

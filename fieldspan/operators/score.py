@@ -1,7 +1,6 @@
 """Scoring: the table of outcomes (approach x document x expected field) and its aggregates.
 
-Only sums leave a partition: each aggregate is algebraic, so partial sums combine before the shuffle,
-and the dimension of 63 (type, field) rows is broadcast.
+Only sums leave a partition: each aggregate is algebraic, so partial sums combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FIELDS_BY_DOCTYPE
 from ..functions.normalize import appears_in_text, normalize_amount, normalize_code, normalize_date, normalize_field
-from ..functions.text import present, strip
+from ..functions.text import compact, present, strip
 
 
 def expected_fields(spark: SparkSession) -> DataFrame:
@@ -19,18 +18,34 @@ def expected_fields(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, f) for t, fs in FIELDS_BY_DOCTYPE.items() for f in sorted(fs)], "doc_type string, field string")
 
 
+#: Columns that outcomes() makes; docs' own columns of these names give way.
+MADE = ("approach", "field", "gold", "pred", "gold_present", "pred_present", "norm_gold", "norm_pred", "correct", "exact", "hallucinated", "tp", "fp", "fn", "tn")
+
+
 def outcomes(runs: DataFrame, docs: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
     """The fact table. runs (approach, doc_id): documents an approach has finished; docs (doc_id, doc_type,
     text, slice columns); gold (doc_id, field, value); pred (approach, doc_id, field, value).
 
-    The grid of expected fields drives the joins, so fields absent on both sides have rows too; a document
-    of a type without expected fields is scored on the fields of its gold."""
-    typed = docs.join(F.broadcast(expected_fields(docs.sparkSession)), "doc_type")
-    known = [t for t in FIELDS_BY_DOCTYPE]
-    other = docs.where(~F.coalesce(F.col("doc_type").isin(known), F.lit(False))).join(gold.select("doc_id", "field").distinct(), "doc_id")
-    grid = runs.join(typed.unionByName(other), "doc_id")
-    rows = (grid.join(gold.withColumnRenamed("value", "gold"), ["doc_id", "field"], "left")
-            .join(pred.withColumnRenamed("value", "pred"), ["approach", "doc_id", "field"], "left"))
+    All values of a document meet in one row of its text: texts cross one exchange, once, and the fact
+    table stays partitioned by doc_id. The expected fields of the type are exploded there, so fields absent
+    on both sides have rows too; a document of a type without expected fields is scored on the fields
+    of its gold. Of several values of one field one counts; documents without a run, and empty tables, give no
+    rows; a null or empty value is absent; a null text shows nothing."""
+    side = lambda df, approach, *what: df.select("doc_id", approach.alias("approach"), *(c.cast("string").alias(n) for n, c in zip(("field", "value"), what, strict=True)))
+    none = F.lit(None).cast("string")
+    values = (side(runs, F.col("approach"), none, none).unionByName(side(gold.where("field is not null"), none, F.col("field"), F.col("value")))
+              .unionByName(side(pred.where("approach is not null and field is not null"), F.col("approach"), F.col("field"), F.col("value"))))
+    met = values.groupBy("doc_id").agg(F.collect_list(F.struct("approach", "field", "value")).alias("_v"))  # as many as approaches x fields
+    rows = docs.drop(*MADE).join(met, "doc_id")
+    gold_of = F.filter("_v", lambda x: x["approach"].isNull())
+    expected = F.create_map(*[c for t, fs in FIELDS_BY_DOCTYPE.items() for c in (F.lit(t), F.array(*[F.lit(f) for f in sorted(fs)]))])
+    rows = rows.withColumns({
+        "_gold": gold_of, "_compact": compact(F.col("text")), "_approach": F.array_distinct(F.transform(F.filter("_v", lambda x: x["field"].isNull()), lambda x: x["approach"])),
+        "_field": F.coalesce(F.try_element_at(expected, F.col("doc_type")), F.array_distinct(F.transform(gold_of, lambda x: x["field"])))})
+    rows = rows.withColumn("approach", F.explode("_approach")).withColumn("_pred", F.filter("_v", lambda x: (x["approach"] == F.col("approach")) & x["field"].isNotNull()))
+    rows = rows.drop("_v", "_approach").withColumn("field", F.explode("_field")).drop("_field")
+    value = lambda c: F.try_element_at(F.filter(c, lambda x: x["field"] == F.col("field")), F.lit(1))["value"]
+    rows = rows.withColumns({"gold": value("_gold"), "pred": value("_pred")}).drop("_gold", "_pred")
     g, p = present(F.col("gold")), present(F.col("pred"))
     rows = rows.withColumns({"gold_present": g, "pred_present": p,
                              "norm_gold": F.when(g, normalize_field(F.col("field"), F.col("gold"))),
@@ -38,7 +53,7 @@ def outcomes(runs: DataFrame, docs: DataFrame, gold: DataFrame, pred: DataFrame)
     correct = F.coalesce(F.col("norm_gold") == F.col("norm_pred"), F.lit(False))
     rows = rows.withColumns({"correct": correct,
                              "exact": F.coalesce(g & p & (strip(F.col("gold")) == strip(F.col("pred"))), F.lit(False)),
-                             "hallucinated": p & ~appears_in_text(F.col("pred"), F.col("text"), F.col("field"))})
+                             "hallucinated": p & ~appears_in_text(F.col("pred"), F.col("text"), F.col("field"), F.col("_compact"))}).drop("_compact")
     tp = F.col("gold_present") & F.col("pred_present") & F.col("correct")
     # a wrong value counts against precision and against recall
     return rows.withColumns({"tp": tp.cast("int"), "fp": (F.col("pred_present") & ~tp).cast("int"), "fn": (F.col("gold_present") & ~tp).cast("int"),

@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def fact(spark: SparkSession, sf: str) -> DataFrame:
-    docs = X.rendered(spark, sf).select("doc_id", "doc_type", "text", "condition", "lang", "gold_source", *X.FIELDS, "iso", "plain")
+    docs = X.rendered(spark, sf).select("doc_id", "doc_type", "text", "condition", "lang", "gold_source", *X.FIELDS, "iso", "plain").persist()  # one scan and join for the four tables made of it
     slim = docs.select("doc_id", "doc_type", "text", "condition", "lang", "gold_source")
     return score.outcomes(X.runs(docs), slim, X.long_gold(docs), X.predictions(docs)).where(F.col("field").isin(list(X.FIELDS)))
 
@@ -200,7 +200,7 @@ def determinism_rate(spark: SparkSession, sf: str) -> DataFrame:
   CAST((length(text) - length(replace(text, value, ''))) / length(value) AS INTEGER) AS occurrences FROM gold JOIN rendered USING (doc_id)""")
 def align_exact(spark: SparkSession, sf: str) -> DataFrame:
     docs = X.rendered(spark, sf)
-    return align.find_spans(X.long_gold(docs, "text"), fuzzy=False).select("doc_id", "field", "start", "end", "method", "occurrences")
+    return align.find_spans(X.long_gold(docs, "text")).select("doc_id", "field", "start", "end", "method", "occurrences")
 
 
 @query(f"""WITH {X.RENDERED}, {X.GOLD} SELECT doc_id, field, CASE WHEN doc_id % 3 = 0 THEN 'exact' WHEN doc_id % 3 = 1 AND lower(value) <> value THEN 'whitespace' WHEN doc_id % 3 = 1 THEN 'exact'

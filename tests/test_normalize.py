@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -64,6 +65,42 @@ def test_arrow_functions(spark):
     assert values(spark, arrow.date_tail, ["2025 March 4", "prose", None]) == [date(2025, 3, 4).isoformat(), None, None]
     df = spark.createDataFrame([("abcd", "abxd"), ("", "a")], "a string, b string")
     assert [r[0] for r in df.select(arrow.similarity("a", "b")).collect()] == [0.75, 0.0]
-    df = spark.createDataFrame([("Name: Cedar Pork Imaging", "Cedar Park Imaging"), ("nothing here", "Cedar Park"), ("abc", "abc")], "t string, v string")
-    got = [r.s for r in df.select(arrow.fuzzy_span("t", "v").alias("s")).collect()]
-    assert (got[0].start, got[0].end) == (6, 24) and got[0].score > 88 and got[1].start is None and got[2].start is None
+
+
+def test_fuzzy_windows(spark):
+    from fieldspan.operators.align import compact_match, fuzzy_match
+
+    rows = [("Name: Cedar Pork Imaging", "Cedar Park Imaging"), ("nothing here", "Cedar Park"), ("abc", "abc"), ("xx Cedr Park Imaging, y", "Cedar Park Imaging"),
+            ("\u00bd price at Cafe Ol\u00e9", "1/2 PRICE"), ("", "Cedar Park"), (None, "Cedar Park"), ("Cedar Park", None)]
+    df = spark.createDataFrame(rows, "t string, v string")
+    got = [r.s for r in df.select(fuzzy_match(F.col("t"), F.col("v")).alias("s")).collect()]
+    assert (got[0].start, got[0].end) == (6, 24) and got[0].score > 88
+    assert got[3].score >= 88 and rows[3][0][got[3].start:got[3].end] == "Cedr Park Imaging"
+    assert [got[i] for i in (1, 2, 5, 6, 7)] == [None] * 5
+    # a character that folds into several keeps its place, also for the values behind it
+    half = df.select(compact_match(F.col("t"), F.col("v")).alias("s")).collect()[4].s
+    assert (half.start, half.end) == (0, 7)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    cases = []
+    for _ in range(25):
+        page = [word() for _ in range(8)]
+        v = " ".join(page[3:6])
+        hurt = list(v)
+        for i in rng.sample(range(len(v)), rng.choice([1, 2, 3])):
+            hurt[i] = rng.choice("xyz")
+        cases.append((" ".join(page), "".join(hurt)))
+    out = spark.createDataFrame(cases, "t string, v string").select("t", "v", fuzzy_match(F.col("t"), F.col("v")).alias("s")).collect()
+
+    def dist(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return row[-1]
+
+    for r in out:  # every window, no seeds
+        hay, needle = r.t.replace(" ", ""), r.v.replace(" ", "")
+        best = max(100 * (1 - dist(needle, hay[i:j]) / max(len(needle), j - i)) for i in range(len(hay)) for j in range(i + 1, min(len(hay), i + 2 * len(needle)) + 1))
+        assert (r.s is None) == (best < 88) and (r.s is None or abs(r.s.score - best) < 1e-9)
