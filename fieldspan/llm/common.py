@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,14 @@ SMALL_ROWS = 20_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where the setting is absent (tests, notebooks) a folder of our own is set once.
+    Where the setting is absent a folder of our own is set once if all runs in one process (tests,
+    notebooks); on a cluster that is an error, since its executors could not read such a folder.
     """
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if own:
         return own.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = getattr(shared_dir, "made", None)
     if made is None:
         made = shared_dir.made = tempfile.mkdtemp(prefix="fieldspan-")

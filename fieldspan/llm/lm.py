@@ -282,7 +282,7 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
 def _sums(count, base, score, known, uni) -> bytes:
     """Partial sums of a batch's documents, only of those that have any."""
     some = np.flatnonzero(count)
-    return _pack(doc=some.astype(np.uint32), base=base[some].astype(np.float32), score=score[some].astype(np.float32),
+    return _pack(doc=some.astype(np.uint32), base=base[some], score=score[some],
                  known=known[some].astype(np.uint32), uni=uni[some].astype(np.uint32))
 
 

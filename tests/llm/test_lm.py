@@ -90,7 +90,7 @@ def same(got, want):
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
         assert g[:5] == w[:5]
-        assert g[5] == pytest.approx(w[5], rel=1e-6) and g[6] == pytest.approx(w[6], rel=1e-5, abs=1e-4)
+        assert g[5] == pytest.approx(w[5], rel=1e-10) and g[6] == pytest.approx(w[6], rel=1e-10)
 
 
 COLS = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
