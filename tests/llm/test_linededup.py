@@ -99,14 +99,9 @@ def brute(docs, similarity=0.8, min_words=1):
     """docs: (id, text) in row order; the texts that stay when all pairs of lines are compared."""
     occ = [(d, i, j, norm(line)) for i, (d, t) in enumerate(docs) if t for j, line in enumerate(t.split("\n"))]
     occ = [o for o in occ if len(o[3].split()) >= min_words]
-    texts = sorted({o[3] for o in occ})
+    texts = sorted({o[3] for o in occ}, key=lambda t: (len(t), t))
     place = {t: i for i, t in enumerate(texts)}
-    import duckdb
-    import pandas as pd
-
-    frame = pd.DataFrame({"i": range(len(texts)), "t": texts})  # noqa: F841
-    links = duckdb.sql(f"""SELECT a.i, b.i FROM frame a JOIN frame b ON a.i < b.i AND least(length(a.t), length(b.t)) >= {similarity} * greatest(length(a.t), length(b.t)) - 1e-9
-      WHERE levenshtein(a.t, b.t) <= {1 - similarity:.6f} * greatest(length(a.t), length(b.t)) + 1e-9""").fetchall()
+    links = near_pairs(texts, similarity)
     top = roots(len(texts), links)
     first = {}
     for o in sorted(occ, key=lambda o: (o[0] is not None, o[0] or 0, o[1], o[2])):
@@ -160,7 +155,8 @@ def test_a_block_that_spans_partitions(spark, monkeypatch):
 
 
 def near_pairs(texts, similarity=0.8):
-    """All pairs with the edit similarity; bags of three-letter runs leave out what cannot have it."""
+    """All pairs of texts, sorted by length, with the edit similarity; bags of three-letter runs leave out
+    what cannot have it."""
     import duckdb
     import pandas as pd
 
@@ -175,11 +171,10 @@ def near_pairs(texts, similarity=0.8):
         apart = np.abs(bag[i + 1:hi] - bag[i]).sum(1)  # an edit changes three runs on either side
         cand += [(i, int(j)) for j in np.flatnonzero(apart <= 6 * (1 - similarity) * n[i + 1:hi] + 1e-9) + i + 1]
     # by bytes the distance is between once and four times the one by characters
-    frame = pd.DataFrame([(i, j, texts[i], texts[j]) for i, j in cand], columns=["i", "j", "a", "b"])  # noqa: F841
+    far = [p for p in cand if n[p[1]] > 1000]
+    frame = pd.DataFrame([(i, j, texts[i], texts[j]) for i, j in cand if n[j] <= 1000], columns=["i", "j", "a", "b"])  # noqa: F841
     close = duckdb.sql(f"SELECT i, j FROM frame WHERE levenshtein(a, b) <= 4 * ({1 - similarity:.6f} * greatest(length(a), length(b)) + 1e-9)").fetchall()
-    sure = {p for p in close if texts[p[0]].isascii() and texts[p[1]].isascii()}
-    ascii_ = duckdb.sql(f"SELECT i, j FROM frame WHERE levenshtein(a, b) <= {1 - similarity:.6f} * greatest(length(a), length(b)) + 1e-9").fetchall()
-    return [p for p in ascii_ if p in sure] + [p for p in close if p not in sure and lev(texts[p[0]], texts[p[1]]) <= (1 - similarity) * max(n[list(p)]) + 1e-9]
+    return [p for p in [*close, *far] if lev(texts[p[0]], texts[p[1]]) <= (1 - similarity) * max(n[list(p)]) + 1e-9]
 
 
 def test_recall_over_all_lines_against_true_edit_similarity(spark):
