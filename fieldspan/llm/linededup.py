@@ -35,6 +35,11 @@ TILE = 1024
 CHUNK = 1 << 17
 #: Characters from which narrow bands are tried before the one of the bound.
 SHORT = 1000
+#: Bands, in words of 64 diagonals, in which many pairs are measured at once, the fewest pairs that is done
+#: for, and the characters of a group of them; in the bands TRIED pairs with wider bounds are measured too.
+#: All ways give the same answers.
+WIDTHS, MANY, GROUP = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32), 16, 1 << 20
+TRIED = (1, 4)
 #: Leaders of a block, about, that all its members are compared with before its tiles.
 LEADERS = 8
 _BLANK = bytes(i if 48 <= i <= 57 or 97 <= i <= 122 or 65 <= i <= 90 or i >= 128 or i == 10 else 32 for i in range(256))
@@ -240,6 +245,99 @@ def within(a: str, b: str, most: int) -> bool:
         k = min(4 * k, most)
 
 
+def _codes(texts: list[str], before: int, width: int, kind) -> np.ndarray:
+    """The characters as numbers, one row of the width a text, zeros before and after them."""
+    at = np.arange(width) - before
+    out = np.zeros((len(texts), width), kind)
+    out[(at >= 0) & (at < np.array([[len(t)] for t in texts]))] = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    return out
+
+
+def together(a: list[str], b: list[str], words: int) -> np.ndarray:
+    """Edit distances of a[i] and b[i] where they are below 32 * words, else some number that is not.
+
+    No text is empty or holds U+0000; lengths of a pair differ by less than 32 * words. The bit-parallel
+    columns of all pairs at once, in a band of 64 * words diagonals that moves down a row with each column;
+    the score follows the lowest diagonal to the end of a[i], then that row."""
+    width, k = 64 * words, 32 * words - 1
+    order = sorted(range(len(b)), key=lambda i: -len(b[i]))
+    a, b = [a[i] for i in order], [b[i] for i in order]
+    top = ord(max(map(max, a + b)))
+    kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32
+    m, n = np.array([len(t) for t in a]), np.array([len(t) for t in b])
+    before = width - 1 - k
+    x = _codes(a, before, max(before + int(m.max()), int(n[0]) + width), kind)
+    y = _codes(b, 0, int(n[0]), kind)
+    grow = np.zeros((words, len(a)), np.uint64)
+    for w in range(words):  # the first column grows from row 0 to row k
+        grow[w] = sum(1 << i for i in range(64) if 64 * w + i >= width - 1 - k)
+    fall, score = np.zeros_like(grow), np.minimum(m, k)
+    one, last = np.uint64(1), np.uint64(63)
+    for j in range(int(n[0])):
+        p = int(np.searchsorted(-n, -j, "left"))  # texts of more than j characters come first
+        up, down = grow[:, :p], fall[:, :p]
+        same = np.packbits(x[:p, j:j + width] == y[:p, j, None], axis=1, bitorder="little").view(np.uint64).T | down
+        zero, carry = np.empty_like(same), np.zeros(p, np.uint64)
+        for w in range(words):
+            part = same[w] & up[w]
+            total = part + up[w]
+            over = total < part
+            total = total + carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            zero[w] = (total ^ up[w]) | same[w]
+        plus, minus = down | ~(zero | up), zero & up
+        below = j + k + 1 - m[:p]  # rows of the band that lie below a[i]
+        row = width - 1 - np.maximum(below, 0)
+        w, bit, i = row >> 6, (row & 63).astype(np.uint64), np.arange(p)
+        along = ((plus[w, i] >> bit) & one).astype(np.int64) - ((minus[w, i] >> bit) & one).astype(np.int64)
+        score[:p] += np.where(below > 0, along, 1 - (zero[-1] >> last).astype(np.int64))
+        moved = zero >> one
+        moved[:-1] |= zero[1:] << last
+        grow[:, :p], fall[:, :p] = minus | ~(moved | plus), moved & plus
+    out = np.empty(len(a), np.int64)
+    out[order] = score
+    return out
+
+
+def alike(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
+    """within() of each pair: narrow bands of all pairs together, then those of each pair's own bound."""
+    out, open_ = np.zeros(len(a), bool), []
+    for i, (x, y, k) in enumerate(zip(a, b, most, strict=True)):
+        if abs(len(x) - len(y)) > k:
+            continue
+        s = _shared(x, y)
+        x, y = x[s:], y[s:]
+        s = _shared(x[::-1], y[::-1])
+        x, y = x[:len(x) - s], y[:len(y) - s]
+        if not x or not y or max(len(x), len(y)) <= k:
+            out[i] = max(len(x), len(y)) <= k
+        else:
+            open_.append((len(y), i, x, y, k))
+    open_.sort(key=lambda t: t[:2])
+    for words in WIDTHS:
+        left, now = [], []
+        for t in open_:
+            fits = abs(len(t[2]) - len(t[3])) < 32 * words and "\0" not in t[2] and "\0" not in t[3]
+            (now if fits and (words in TRIED or t[4] < 32 * words) else left).append(t)
+        at = 0
+        while len(now) - at >= MANY:
+            end, size = at, 0
+            while end < len(now) and (end - at < MANY or size < GROUP):
+                size += now[end][0] + 64 * words
+                end += 1
+            some = now[at:end]
+            for t, d in zip(some, together([t[2] for t in some], [t[3] for t in some], words), strict=True):
+                if d <= t[4] and d < 32 * words:
+                    out[t[1]] = True
+                elif t[4] >= 32 * words:
+                    left.append(t)
+            at = end
+        open_ = sorted(left + now[at:], key=lambda t: t[:2])
+    for _, i, x, y, k in open_:
+        out[i] = within(x, y, k)
+    return out
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """gid and the normalised form of the first occurrence of each wanted line (gid, rid, line_no)."""
     by_doc = wanted.groupBy("rid").agg(F.collect_list(F.struct("line_no", "gid")).alias("want"))
@@ -262,8 +360,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
     def run(batches):
         for b in batches:
-            ok = [within(x, y, k) for x, y, k in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+            ok = pa.array(alike(*(b.column(i).to_pylist() for i in (2, 3, 4))))
+            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in b.columns[:2]], names=["a", "b"])
 
     return both.select("a", "b", "x", "y", "most").mapInArrow(run, "a long, b long")
 

@@ -81,6 +81,34 @@ def test_edit_distance_in_bands():
     assert banded(a, "".join(b), 600) == d and within(a, "".join(b), d) and not within(a, "".join(b), d - 1)
 
 
+@pytest.mark.parametrize("words", [1, 2, 4, 8])
+@pytest.mark.parametrize("letters", ["ab ", "abcdé", "aé東", "ab\U00020000"])
+def test_distances_of_many_pairs_together(words, letters):
+    rng, a, b = random.Random(words), [], []
+    while len(a) < 150:
+        x = [rng.choice(letters) for _ in range(rng.randrange(1, 60 * words))]
+        y = [e for c in x for e in rng.choices(([c], [], [c, "z"], ["z"]), (9, 1, 1, 1))[0]] if rng.random() < 0.8 else [rng.choice(letters) for _ in x]
+        if y and abs(len(x) - len(y)) < 32 * words:
+            a.append("".join(x))
+            b.append("".join(y))
+    for x, y, got in zip(a, b, D.together(a, b, words), strict=True):
+        d = lev(x, y)
+        assert got == d if d < 32 * words else got >= 32 * words
+
+
+def test_many_pairs_and_one_at_a_time_agree():
+    rng, a, b = random.Random(8), [], []
+    for size in (0, 1, 5, 40, 300, 700, 1500, 5000):
+        for _ in range(40 if size < 2000 else 2):
+            x = [rng.choice("abcdefgh ") for _ in range(size)]
+            a.append("".join(x))
+            b.append("".join(rng.choice("xyz") if rng.random() < rng.choice([0.05, 0.3]) else c for c in x)[rng.randrange(0, 3):])
+    a, b = [*a, "nul\0 in it" * 5], [*b, "nul\0in it" * 5]
+    most = [max(len(x), len(y)) // 5 for x, y in zip(a, b, strict=True)]
+    assert D.alike(a, b, most).tolist() == [lev(x, y) <= k for x, y, k in zip(a, b, most, strict=True)]
+    assert D.alike([], [], []).tolist() == []
+
+
 def roots(n, links):
     of = list(range(n))
 
