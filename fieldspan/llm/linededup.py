@@ -35,10 +35,10 @@ TILE = 1024
 CHUNK = 1 << 17
 #: Characters from which narrow bands are tried before the one of the bound.
 SHORT = 1000
-#: Bands, in words of 64 diagonals, in which many pairs are measured at once, the fewest pairs that is done
+#: Bands, in words of 64 diagonals, in which many pairs are measured at once, the fewest pairs (weighed by length) that is done
 #: for, and the characters of a group of them; in the bands TRIED pairs with wider bounds are measured too.
 #: All ways give the same answers.
-WIDTHS, MANY, GROUP = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32), 16, 1 << 20
+WIDTHS, MANY, GROUP = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32), 40, 1 << 20
 TRIED = (1, 4)
 #: Leaders of a block, about, that all its members are compared with before its tiles.
 LEADERS = 8
@@ -326,7 +326,10 @@ def alike(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
                 size += now[end][0] + 64 * words
                 end += 1
             some = now[at:end]
-            for t, d in zip(some, together([t[2] for t in some], [t[3] for t in some], words), strict=True):
+            while some and size < MANY * (some[-1][0] + 64 * words):  # few much longer ones are left to their own
+                left.append(some.pop())
+                size -= left[-1][0] + 64 * words
+            for t, d in zip(some, together([t[2] for t in some], [t[3] for t in some], words), strict=True) if some else ():
                 if d <= t[4] and d < 32 * words:
                     out[t[1]] = True
                 elif t[4] >= 32 * words:
