@@ -4,6 +4,7 @@ Source k has the weight schedule w_k(t) = weight_k * (1 + ramp_k * (2t - 1)) ove
 t in [0, 1]; its integral is weight_k, so the integrated schedules fix the targets. The documents of
 a source stand in a fixed random order, and the words before a document are its demand. Position
 t of a document solves  integral_0^t w_k / integral_0^1 w_k = words before it / target.
+The rows are range-sorted by that position.
 """
 
 from __future__ import annotations
@@ -49,8 +50,13 @@ def _position(y, ramp):
     return 2 * y / (a + F.sqrt(a * a + 4 * ramp * y))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, ramp: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per document as demand() gives it, range-sorted by position; documents the mix leaves out come last."""
+    return in_order(demand(docs, id_col=id_col, **options), id_col, "source", "start")
+
+
+def demand(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+           weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, ramp: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id_col, source, size, source_size, target, taken, position, then `keep` columns.
 
     taken: words of the document in the mix, repeats counted; a source is read in passes until its
@@ -92,7 +98,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 def passes(docs: DataFrame, *, id_col: str = "doc_id", keep: tuple[str, ...] = (), **options) -> DataFrame:
     """One row per document and pass that takes words of it: id_col, size, pass, words, position, `keep`."""
-    m = mix(docs, id_col=id_col, keep=keep, **options).where("taken > 0")
+    m = demand(docs, id_col=id_col, keep=keep, **options).where("taken > 0")
     at = m.select(id_col, "size", "taken", "source_size", "target", "start", "slope", *keep, F.explode(
         F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))).alias("pass"))
     y = F.least((F.col("start") + F.col("pass") * F.col("source_size")) / F.col("target"), F.lit(1.0))
@@ -101,8 +107,9 @@ def passes(docs: DataFrame, *, id_col: str = "doc_id", keep: tuple[str, ...] = (
 
 
 def in_order(rows: DataFrame, *ties: str) -> DataFrame:
-    """Rows range-sorted by training position: files follow one another in the order of training."""
-    return rows.repartitionByRange("position", *ties).sortWithinPartitions("position", *ties)
+    """Rows range-sorted by training position, null last: files follow one another in the order of training."""
+    by = [F.col("position").asc_nulls_last(), *ties]
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 def training_order(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
@@ -111,7 +118,7 @@ def training_order(docs: DataFrame, *, id_col: str = "doc_id", **options) -> Dat
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken, position of every document."""
+    """doc_id, size, source_size, target, taken, position of every document, in the order of training."""
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 

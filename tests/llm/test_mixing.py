@@ -52,3 +52,12 @@ def test_targets_and_order(spark):
     assert pos == sorted(pos) and 0 <= pos[0] and pos[-1] <= 1
     assert mix(df.limit(0)).count() == 0
     assert [r.taken for r in mix(df.where("text is null")).collect()] == [0, 0]
+
+
+def test_query_and_operator_are_sorted_by_position(spark):
+    by = lambda p: (p is None, p or 0)
+    df = spark.createDataFrame([(i % 90, "w " * (i % 7), "ab"[i % 2]) for i in range(300)] + [(None, None, None)], "doc_id long, text string, source string")
+    for out, n in ((mix(df), 301), (op7_mixing(spark, SF), 1000)):
+        places = [r.position for r in out.collect()]  # partitions in their order, as files are read
+        assert len(places) == n and places == sorted(places, key=by)
+        assert None in places and len(set(places)) > n / 4
