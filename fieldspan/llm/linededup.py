@@ -3,19 +3,23 @@
 Equal normalised lines meet in one row first. At an edit similarity of 0.8 the SimHashes of two lines
 differ in up to 20 of 64 bits, so blocks of their bits miss most such pairs (they found 0.40 of them).
 The pigeonhole is therefore one of words: each table samples ROWS words of the line by least hash, and
-a pair meets in a table whose sample holds no changed word. Lines that meet and whose SimHashes and
-lengths allow it are compared by edit similarity; of each connected group one occurrence stays.
+a pair meets in a table whose sample holds no changed word. Lines that meet and whose SimHashes, lengths
+and pairs of characters allow it are compared by edit similarity; of each connected group one occurrence stays.
 """
 
 from __future__ import annotations
 
+import gc
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop, stored, table
+from .common import cut, drop, maybe_broadcast, stored, table
 from .graph import components
 from .hashing import Ranges, mix, runs
 
@@ -27,6 +31,9 @@ TABLES, ROWS = 8, 4
 #: other lines of one language differ in 24 or more on average, pairs with the similarity in up to 19, and
 #: half of them in at most 7. The SimHash of a shorter line has too few words to tell.
 BITS, FEW = 20, 120
+#: Bits that say which pairs of neighbouring characters a line has. An edit takes up to two pairs away and
+#: brings up to two, so it turns four bits at most: lines that differ in more bits cannot be similar.
+GRAM_BITS = 512
 #: Words of so many bytes are long; a line with at least ROWS long words is sampled from these alone.
 LONG_BYTES = 5
 #: Members of a block that are compared with each other in one tile.
@@ -77,9 +84,20 @@ def blocks(word: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return keys
 
 
-def line_hashes(buf: bytes):
+def grams(lines: list[str]) -> np.ndarray:
+    """GRAM_BITS bits a line, as a row of 64-bit numbers: the hashes of its pairs of neighbouring characters."""
+    c = np.frombuffer("\n".join(lines).encode("utf-32-le", "replace"), np.uint32)
+    line = np.cumsum(c == 10)
+    at = np.flatnonzero((c[:-1] != 10) & (c[1:] != 10))
+    pair = mix(c[at].astype(np.uint64) << np.uint64(32) | c[at + 1])
+    bits = np.zeros((len(lines), GRAM_BITS), np.uint8)
+    bits[line[at], pair & np.uint64(GRAM_BITS - 1)] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def line_hashes(buf: bytes, only_keys: bool = False):
     """Of all lines of lower-cased text: number of words, characters of the normalised line, two 64-bit
-    keys of all words in order, the SimHash and the block keys, as arrays.
+    keys of all words in order, the SimHash (zero with only_keys) and the block keys, as arrays.
 
     Words are runs of letters a-z, digits and bytes from 128 up; everything else only parts them. Each
     character from U+0800 up begins a word, so scripts without blanks have words too."""
@@ -97,7 +115,8 @@ def line_hashes(buf: bytes):
     sim, keys = np.zeros(lines, np.uint64), [np.zeros(lines, np.uint64) for _ in range(TABLES)]
     some = n > 0
     if some.any():
-        sim[some] = simhash(word, n[some])
+        if not only_keys:
+            sim[some] = simhash(word, n[some])
         is_long = size >= LONG_BYTES
         use = is_long | (np.bincount(line, is_long, minlength=lines)[line] < ROWS)
         for out, key in zip(keys, blocks(word[use], np.bincount(line[use], minlength=lines)[some]), strict=True):
@@ -122,9 +141,9 @@ KEYS = tuple(f"b{t}" for t in range(TABLES))
 
 
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """id, rid, line_no, chars, k1, k2, sim and block keys of every line with at least min_words words;
-    docs has rid, text, id."""
-    names = ["id", "rid", "line_no", "chars", "k1", "k2", "sim", *KEYS]
+    """id, rid, line_no, k1, k2 and block keys of every line with at least min_words words; docs has rid,
+    text, id."""
+    names = ["id", "rid", "line_no", "k1", "k2", *KEYS]
 
     def run(batches):
         for b in batches:
@@ -133,14 +152,14 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
             size = 0
 
             def flush(jobs, b=b, rids=rids):
-                n, chars, k1, k2, sim, keys = line_hashes(b"\n".join(j[2] for j in jobs))
+                n, _, k1, k2, _, keys = line_hashes(b"\n".join(j[2] for j in jobs), only_keys=True)
                 count = np.array([j[2].count(b"\n") + 1 for j in jobs])
                 row = np.repeat(np.array([j[0] for j in jobs]), count)
                 no = np.arange(len(n)) - np.repeat(np.cumsum(count) - count, count) + np.repeat([j[1] for j in jobs], count)
                 ok = n >= min_words
                 return pa.RecordBatch.from_arrays(
-                    [b.column(2).take(pa.array(row[ok])), pa.array(rids[row[ok]]), pa.array(no[ok].astype(np.int32)), pa.array(chars[ok].astype(np.int32)),
-                     *(pa.array(v[ok].view(np.int64)) for v in (k1, k2, sim, *keys))], names=names)
+                    [b.column(2).take(pa.array(row[ok])), pa.array(rids[row[ok]]), pa.array(no[ok].astype(np.int32)),
+                     *(pa.array(v[ok].view(np.int64)) for v in (k1, k2, *keys))], names=names)
 
             for i in range(len(texts)):
                 t = texts[i].as_py()
@@ -157,7 +176,7 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
             if jobs:
                 yield flush(jobs)
 
-    kinds = [docs.schema["id"].dataType.simpleString(), "long", "int", "int", *["long"] * (3 + TABLES)]
+    kinds = [docs.schema["id"].dataType.simpleString(), "long", "int", *["long"] * (2 + TABLES)]
     return docs.select("rid", "text", "id").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
@@ -341,18 +360,42 @@ def alike(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
     return out
 
 
+#: What is known of a line before its text is read.
+FACTS = ("sim", "chars", *(f"g{i}" for i in range(GRAM_BITS // 64)))
+
+
+def facts(lines: list[str]) -> list[np.ndarray]:
+    """FACTS of normalised lines."""
+    _, chars, _, _, sim, _ = line_hashes("\n".join(lines).encode("utf-8", "replace"))
+    return [sim.view(np.int64), chars.astype(np.int32), *grams(lines).view(np.int64).T]
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """gid and the normalised form of the first occurrence of each wanted line (gid, rid, line_no)."""
+    """gid, normalised form and FACTS of the first occurrence of each wanted line (gid, rid, line_no)."""
     by_doc = wanted.groupBy("rid").agg(F.collect_list(F.struct("line_no", "gid")).alias("want"))
+    names = ["gid", "line", *FACTS]
 
     def run(batches):
+        gids, found, size = [], [], 0
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), pa.array(found, pa.string()), *(pa.array(np.ascontiguousarray(v)) for v in facts(found))], names=names)
+
         for b in batches:
             for text, want in zip(b.column(0), b.column(1), strict=True):
                 lines = text.as_py().split("\n")
-                rows = [(w["gid"], normalised(lines[w["line_no"]])) for w in want.as_py()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string()), strict=True)], names=["gid", "line"])
+                for w in want.as_py():
+                    gids.append(w["gid"])
+                    found.append(normalised(lines[w["line_no"]]))
+                    size += len(found[-1]) + 50
+                    if size >= CHUNK:
+                        yield flush()
+                        gids, found, size = [], [], 0
+        if gids:
+            yield flush()
 
-    return docs.select("rid", "text").join(by_doc.hint("shuffle_hash"), "rid").select("text", "want").mapInArrow(run, "gid long, line string")
+    kinds = ", ".join(f"{n} {k}" for n, k in zip(names, ("long", "string", "long", "int", *["long"] * (len(FACTS) - 2)), strict=True))
+    return docs.select("rid", "text").join(by_doc.hint("shuffle_hash"), "rid").select("text", "want").mapInArrow(run, kinds)
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -369,11 +412,11 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "x", "y", "most").mapInArrow(run, "a long, b long")
 
 
-MET = "key long, gid long, sim long, chars int, leader long, leader_sim long, leader_chars int"
+MET = "key long, gid long, leader long"
 
 
 def _meet(batches):
-    """Sorted rows (key, gid, sim, chars) in, every row that has the key of the one before it out, with the
+    """Sorted rows (key, gid) in, every row that has the key of the one before it out, with the
     first row of its key. The first and the last key of the partition may go on in other partitions:
     their first rows come out too, as their own leaders."""
     lead, opening = None, True  # first row of the key that the last batch ended with
@@ -395,10 +438,18 @@ def _meet(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.array([v])) for v in (*lead, *lead[1:])], names=[f.split()[0] for f in MET.split(", ")])
 
 
-def _alike(sim: str, chars: str, sim2: str, chars2: str, similarity: float):
-    """Lengths and SimHashes allow the similarity."""
-    return (((F.bit_count(F.col(sim).bitwiseXOR(F.col(sim2))) <= BITS) | (F.greatest(chars, chars2) <= FEW))
-            & (F.least(chars, chars2) >= F.greatest(chars, chars2) * F.lit(similarity) - F.lit(1e-9)))
+def _alike(one: str, other: str, similarity: float):
+    """FACTS of two lines allow the similarity; those of character pairs and lengths are bounds, never wrong."""
+    bits = lambda c: F.bit_count(F.col(f"{one}.{c}").bitwiseXOR(F.col(f"{other}.{c}")))
+    short, long_ = F.least(f"{one}.chars", f"{other}.chars"), F.greatest(f"{one}.chars", f"{other}.chars")
+    return ((short >= long_ * F.lit(similarity) - F.lit(1e-9)) & ((bits("sim") <= BITS) | (long_ <= FEW))
+            & (reduce(add, map(bits, FACTS[2:])) <= 4 * F.floor(long_ * F.lit(1 - similarity) + F.lit(1e-9))))
+
+
+def _release(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go now; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -413,50 +464,61 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (k1, k2, gid, first, n) and links (node, component) of those that have any."""
-    uniq = cut(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "rid", "line_no")).alias("first"), F.count("*").alias("n"),
-                                             *[F.first(c).alias(c) for c in ("chars", "sim", *KEYS)])
+    spark = docs.sparkSession
+    uniq = cut(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "rid", "line_no")).alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in KEYS])
                .withColumn("gid", F.monotonically_increasing_id()), "uniq_lines")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    _release(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # sorted by key and gid over ranges of both, so that a block of any size is spread over partitions
-    dealt = uniq.select(F.explode(F.array(*KEYS)).alias("key"), "gid", "sim", "chars").repartitionByRange(parts, "key", "gid").sortWithinPartitions("key", "gid")
+    dealt = uniq.select(F.explode(F.array(*KEYS)).alias("key"), "gid").repartitionByRange(parts, "key", "gid").sortWithinPartitions("key", "gid")
     met = cut(dealt.mapInArrow(_meet, MET), "met_lines")
+    _release(spark)
+    # texts and facts of the lines that meet any other
+    ids = met.select("gid").union(met.select("leader")).distinct()
+    texts = cut(_texts(docs, uniq.select("gid", "first").join(ids, "gid").select("gid", "first.rid", "first.line_no")), "line_texts")
+    _release(spark)
+    known = lambda x: texts.select("gid", *FACTS).alias(x)
 
     def verified(pairs, label):
-        ids = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
-        wanted = uniq.select("gid", "first").join(ids, "gid").select("gid", "first.rid", "first.line_no")
-        texts = cut(_texts(docs, wanted), "line_texts")
-        out = cut(_similar(pairs, texts, similarity), label)
-        drop(texts)
+        ids = cut(pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct(), "wanted_lines")
+        few = maybe_broadcast(ids)
+        wanted = texts.select("gid", "line")
+        if few is not ids:
+            wanted = cut(wanted.join(few, "gid", "left_semi"), "wanted_texts")
+        out = cut(_similar(pairs, wanted, similarity), label)
+        for t in (ids, wanted) if few is not ids else (ids,):
+            drop(t)
+        _release(spark)
         return out
 
     # first round: every member of a block with the leader of its partition, these leaders with the first of them
-    heads = met.where("gid = leader").groupBy("key").agg(F.min(F.struct("gid", "sim", "chars")).alias("g"), F.collect_set(F.struct("gid", "sim", "chars")).alias("h")).where("size(h) > 1")
-    across = heads.select("g", F.explode("h").alias("h")).where("g.gid <> h.gid").where(_alike("g.sim", "g.chars", "h.sim", "h.chars", similarity)).select(
-        F.col("g.gid").alias("a"), F.col("h.gid").alias("b"))
-    near = met.where("gid <> leader").where(_alike("sim", "chars", "leader_sim", "leader_chars", similarity))
-    pairs = cut(near.select(F.col("leader").alias("a"), F.col("gid").alias("b")).union(across).distinct(), "line_pairs")
+    heads = met.where("gid = leader").groupBy("key").agg(F.min("gid").alias("a"), F.collect_set("gid").alias("h")).where("size(h) > 1")
+    across = heads.select("a", F.explode("h").alias("b")).where("a <> b")
+    near = met.where("gid <> leader").select(F.col("leader").alias("a"), F.col("gid").alias("b")).union(across).distinct()
+    pairs = cut(near.join(known("l"), F.col("a") == F.col("l.gid")).join(known("r"), F.col("b") == F.col("r.gid")).where(_alike("l", "r", similarity)).select("a", "b"), "line_pairs")
     links = verified(pairs, "line_links")
     comp = components(links)
     # second round: blocks of several groups, every member with about LEADERS of them, drawn by hash
-    open_ = met.select("key", "gid", "sim", "chars").join(comp.withColumnRenamed("node", "gid"), "gid", "left").withColumn("c", F.coalesce("component", "gid")).drop("component")
+    open_ = met.select("key", "gid").join(comp.withColumnRenamed("node", "gid"), "gid", "left").withColumn("c", F.coalesce("component", "gid")).drop("component")
     mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
-    open_ = cut(open_.join(mixed, "key"), "open_lines")
+    open_ = cut(open_.join(mixed, "key").join(known("r"), "gid"), "open_lines")
     drop(met)
     leads = open_.where(F.pmod(F.xxhash64("gid", "key"), F.col("m")) < LEADERS)
-    both = leads.alias("l").join(open_.alias("r"), "key").where((F.col("l.c") != F.col("r.c")) & _alike("l.sim", "l.chars", "r.sim", "r.chars", similarity))
+    both = leads.alias("l").join(open_.alias("r"), "key").where((F.col("l.c") != F.col("r.c")) & _alike("l", "r", similarity))
     ordered = lambda both: both.select(F.least("l.gid", "r.gid").alias("a"), F.greatest("l.gid", "r.gid").alias("b")).distinct()
     more = cut(ordered(both).join(pairs, ["a", "b"], "left_anti"), "late_pairs")
     comp = _merged(comp, verified(more, "late_links")) if more.limit(1).count() else comp
     # third round: blocks with more members than leaders that still hold several groups, in tiles
     open_ = open_.where(F.col("m") > LEADERS).drop("c").join(comp.withColumnRenamed("node", "gid"), "gid", "left").withColumn("c", F.coalesce("component", "gid"))
     mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")).where("lo <> hi").select("key", "tiles")
-    open_ = cut(open_.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("gid"), F.col("tiles")).cast("int")).select("key", "gid", "sim", "chars", "c", "tiles", "tile"), "tiled_lines")
+    open_ = cut(open_.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("gid"), F.col("tiles")).cast("int")).select("key", "gid", *FACTS, "c", "tiles", "tile"), "tiled_lines")
     left = open_.withColumn("j", F.explode(F.sequence("tile", F.col("tiles") - 1))).withColumnRenamed("tile", "i").alias("l")
     right = open_.withColumn("i", F.explode(F.sequence(F.lit(0), "tile"))).withColumnRenamed("tile", "j").alias("r")
     both = left.join(right, ["key", "i", "j"]).where((F.col("l.c") < F.col("r.c")) | ((F.col("i") < F.col("j")) & (F.col("l.c") != F.col("r.c"))))
-    both = both.where(_alike("l.sim", "l.chars", "r.sim", "r.chars", similarity))
+    both = both.where(_alike("l", "r", similarity))
     last = cut(ordered(both).join(pairs.union(more), ["a", "b"], "left_anti"), "last_pairs")
     comp = _merged(comp, verified(last, "last_links")) if last.limit(1).count() else comp
+    drop(texts)
     return uniq, comp
 
 
@@ -474,6 +536,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     names = [c for c in docs.columns if c not in own]
     kept = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(None).cast("string").alias("none"))
     rows = stored(docs.select(kept.alias("kept"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").alias("id")))
+    _release(docs.sparkSession)
     lines = cut(lines_of(rows, max(1, min_words)), "lines")
     uniq, comp = groups(rows, lines, similarity)
     named = uniq.select("k1", "k2", "gid", "first", "n").join(comp.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))

@@ -240,3 +240,32 @@ def test_exact_copies_over_all_documents(spark):
                 seen.add(n)
             else:
                 assert line in left
+
+
+def test_pairs_of_characters_bound_the_edits():
+    """Each edit turns four bits at most, and lines that share words only differ in more than similar ones may."""
+    rng = random.Random(11)
+    for letters in ("abcdefgh ", "aé東\U00020000 "):
+        a = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 90))) for _ in range(300)]
+        b = ["".join(e for c in x for e in rng.choices(([c], [], [c, "z"], ["z"]), (9, 1, 1, 1))[0]) or "z" for x in a]
+        one, other = D.grams(a), D.grams(b)
+        assert all(int(np.bitwise_count(x ^ y).sum()) <= 4 * lev(s, t) for x, y, s, t in zip(one, other, a, b, strict=True))
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4))
+    lines = [f"quart reven ledge balan {' '.join(word() for _ in range(18))}" for _ in range(60)]
+    bits = D.grams(lines)
+    spared = [np.bitwise_count(bits[i] ^ bits[j]).sum() > 4 * (max(len(lines[i]), len(lines[j])) // 5) for i in range(60) for j in range(i)]
+    assert sum(spared) > 0.5 * len(spared)
+
+
+def test_lines_that_share_words_are_not_compared_in_squares(spark, monkeypatch):
+    """One block of many lines that are similar to few others: most pairs are spared before their texts are read."""
+    rng, compared = random.Random(5), []
+    similar = D._similar
+    monkeypatch.setattr(D, "_similar", lambda pairs, *a: compared.append(pairs.count()) or similar(pairs, *a))
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4))
+    docs = [(i, f"quart reven ledge balan {' '.join(word() for _ in range(18))}") for i in range(150)]
+    docs += [(200 + i, docs[i][1][:-1] + "z") for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    check(dedup_lines(df).collect(), docs)
+    print("compared", compared)
+    assert 20 <= sum(compared) < 7000  # of 14,365 pairs of lines in the block
