@@ -9,8 +9,9 @@ and pairs of characters allow it are compared by edit similarity; of each connec
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from functools import reduce
+from functools import reduce, wraps
 from operator import add
 
 import numpy as np
@@ -40,6 +41,8 @@ LONG_BYTES = 5
 TILE = 1024
 #: Bytes of text that are worked on at once (a longer line counts whole).
 CHUNK = 1 << 17
+#: Documents that are put together again at once.
+AT_ONCE = 500
 #: Characters from which narrow bands are tried before the one of the bound.
 SHORT = 1000
 #: Bands, in words of 64 diagonals, in which many pairs are measured at once, the fewest pairs (weighed by length) that is done
@@ -137,6 +140,28 @@ def _parts(text: str):
     yield low[at:] if at else low
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the C library of GNU
+        return
+
+
+def trimmed(run):
+    """run(batches) in a worker that keeps neither what the stages before nor what this one has freed:
+    workers are used again, and their memory counts as the executor's."""
+    @wraps(run)
+    def out(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return out
+
+
 KEYS = tuple(f"b{t}" for t in range(TABLES))
 
 
@@ -177,7 +202,7 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
                 yield flush(jobs)
 
     kinds = [docs.schema["id"].dataType.simpleString(), "long", "int", *["long"] * (2 + TABLES)]
-    return docs.select("rid", "text", "id").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return docs.select("rid", "text", "id").mapInArrow(trimmed(run), ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def normalised(line: str) -> str:
@@ -395,7 +420,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield flush()
 
     kinds = ", ".join(f"{n} {k}" for n, k in zip(names, ("long", "string", "long", "int", *["long"] * (len(FACTS) - 2)), strict=True))
-    return docs.select("rid", "text").join(by_doc.hint("shuffle_hash"), "rid").select("text", "want").mapInArrow(run, kinds)
+    return docs.select("rid", "text").join(by_doc.hint("shuffle_hash"), "rid").select("text", "want").mapInArrow(trimmed(run), kinds)
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -409,7 +434,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             ok = pa.array(alike(*(b.column(i).to_pylist() for i in (2, 3, 4))))
             yield pa.RecordBatch.from_arrays([c.filter(ok) for c in b.columns[:2]], names=["a", "b"])
 
-    return both.select("a", "b", "x", "y", "most").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y", "most").mapInArrow(trimmed(run), "a long, b long")
 
 
 MET = "key long, gid long, leader long"
@@ -471,7 +496,7 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFr
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # sorted by key and gid over ranges of both, so that a block of any size is spread over partitions
     dealt = uniq.select(F.explode(F.array(*KEYS)).alias("key"), "gid").repartitionByRange(parts, "key", "gid").sortWithinPartitions("key", "gid")
-    met = cut(dealt.mapInArrow(_meet, MET), "met_lines")
+    met = cut(dealt.mapInArrow(trimmed(_meet), MET), "met_lines")
     _release(spark)
     # texts and facts of the lines that meet any other
     ids = met.select("gid").union(met.select("leader")).distinct()
@@ -549,7 +574,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             .groupBy("rid").agg(F.collect_list("line_no").alias("gone")))
 
     def rebuild(batches):
-        for b in batches:
+        for b in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             texts, drops = b.column(0).to_pylist(), b.column(1).to_pylist()
             out, n_lines, n_dropped, emptied = [], [], [], []
             for t, d in zip(texts, drops, strict=True):
@@ -565,7 +590,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     schema = T.StructType([rows.schema["kept"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.IntegerType()),
                            T.StructField("n_dropped", T.IntegerType()), T.StructField("emptied", T.BooleanType())])
-    done = rows.join(gone.hint("shuffle_hash"), "rid", "left").select("text", "gone", "kept").mapInArrow(rebuild, schema)
+    done = rows.join(gone.hint("shuffle_hash"), "rid", "left").select("text", "gone", "kept").mapInArrow(trimmed(rebuild), schema)
     return done.select(*[F.col("kept").getField(c).alias(c) for c in names], F.col("text").alias(text_col), "n_lines", "n_dropped", "emptied")
 
 

@@ -269,3 +269,28 @@ def test_lines_that_share_words_are_not_compared_in_squares(spark, monkeypatch):
     check(dedup_lines(df).collect(), docs)
     print("compared", compared)
     assert 20 <= sum(compared) < 7000  # of 14,365 pairs of lines in the block
+
+
+def test_workers_give_back_what_they_have_freed():
+    """A worker that comes from another stage with much freed memory does not keep it, nor what it frees itself."""
+    import subprocess
+    import sys
+
+    code = """if True:
+        import re
+        from fieldspan.llm import linededup as D
+        size = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+        base = size()
+        def fill():
+            held = [bytes(1 << 16) + bytes([i % 256]) for i in range(3000)]
+            pins = [bytes(1 << 10) for _ in range(8)]
+            return held, pins
+        held, pins = fill()
+        last = held[-1]
+        del held
+        before = size() - base
+        seen = list(D.trimmed(lambda batches: (size() - base for _ in batches))([1]))
+        print(before, seen[0])
+    """
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=D.__file__.split("/fieldspan/")[0]).stdout.split()
+    assert float(out[0]) > 100 and float(out[1]) < 30, out
