@@ -52,6 +52,8 @@ WIDTHS, MANY, GROUP = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32), 40, 1 << 20
 TRIED = (1, 4)
 #: Leaders of a block, about, that all its members are compared with before its tiles.
 LEADERS = 8
+#: Words that a rough alignment skips in two lines where they differ, the fewest first.
+SKIPS = sorted(((i, j) for i in range(5) for j in range(5) if i + j), key=lambda t: (sum(t), abs(t[0] - t[1])))
 _BLANK = bytes(i if 48 <= i <= 57 or 97 <= i <= 122 or 65 <= i <= 90 or i >= 128 or i == 10 else 32 for i in range(256))
 _CLASS = np.array([2 if i == 10 else 1 if _BLANK[i] == 32 else 0 for i in range(256)], np.uint8)
 _ONES = np.uint64(0x0101010101010101)
@@ -289,6 +291,28 @@ def within(a: str, b: str, most: int) -> bool:
         k = min(4 * k, most)
 
 
+def roughly(a: str, b: str, most: int) -> bool:
+    """Whether an alignment of equal words, found from left to right, has at most `most` edits. The distance is
+    never more than those, so True is certain; False says nothing."""
+    x, y = a.split(" "), b.split(" ")
+    i, j, m, n = 0, 0, len(x), len(y)
+    while i < m or j < n:
+        if i < m and j < n and x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for p, q in SKIPS:
+            if i + p <= m and j + q <= n and x[i + p:i + p + 2] == y[j + q:j + q + 2]:
+                break
+        else:
+            return False
+        # a word counts with the blank behind it: one more blank at both ends changes no distance
+        most -= max(sum(map(len, x[i:i + p])) + p, sum(map(len, y[j:j + q])) + q)
+        if most < 0:
+            return False
+        i, j = i + p, j + q
+    return True
+
+
 def _codes(texts: list[str], before: int, width: int, kind) -> np.ndarray:
     """The characters as numbers, one row of the width a text, zeros before and after them."""
     at = np.arange(width) - before
@@ -355,6 +379,8 @@ def alike(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
         x, y = x[:len(x) - s], y[:len(y) - s]
         if not x or not y or max(len(x), len(y)) <= k:
             out[i] = max(len(x), len(y)) <= k
+        elif roughly(x, y, k):
+            out[i] = True
         else:
             open_.append((len(y), i, x, y, k))
     open_.sort(key=lambda t: t[:2])

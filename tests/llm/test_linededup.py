@@ -271,6 +271,22 @@ def test_lines_that_share_words_are_not_compared_in_squares(spark, monkeypatch):
     assert 20 <= sum(compared) < 7000  # of 14,365 pairs of lines in the block
 
 
+def test_a_rough_alignment_is_never_below_the_distance():
+    rng, found, alike = random.Random(4), 0, 0
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7)))
+    for _ in range(400):
+        x = [word() for _ in range(rng.randrange(1, 40))]
+        y = [e for w in x for e in rng.choices(([w], [], [w, word()], [word()]), (30, 1, 1, 1))[0]] or [word()]
+        a, b = " ".join(x), " ".join(y)
+        d = lev(a, b)
+        assert d == 0 or not D.roughly(a, b, d - 1)
+        most = max(len(a), len(b)) // 5
+        alike += d <= most
+        found += D.roughly(a, b, most)
+    assert D.roughly("a", "a", 0) and not D.roughly("a b", "a", 1) and D.roughly("a b", "a", 2)
+    assert 0.7 * alike < found <= alike
+
+
 def test_workers_give_back_what_they_have_freed():
     """A worker that comes from another stage with much freed memory does not keep it, nor what it frees itself."""
     import subprocess
