@@ -489,12 +489,16 @@ def _meet(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.array([v])) for v in (*lead, *lead[1:])], names=[f.split()[0] for f in MET.split(", ")])
 
 
+def _turned(one: str, other: str, names=FACTS[2:]):
+    """Number of bits in which two lines differ."""
+    return reduce(add, (F.bit_count(F.col(f"{one}.{c}").bitwiseXOR(F.col(f"{other}.{c}"))) for c in names))
+
+
 def _alike(one: str, other: str, similarity: float):
     """FACTS of two lines allow the similarity; those of character pairs and lengths are bounds, never wrong."""
-    bits = lambda c: F.bit_count(F.col(f"{one}.{c}").bitwiseXOR(F.col(f"{other}.{c}")))
     short, long_ = F.least(f"{one}.chars", f"{other}.chars"), F.greatest(f"{one}.chars", f"{other}.chars")
-    return ((short >= long_ * F.lit(similarity) - F.lit(1e-9)) & ((bits("sim") <= BITS) | (long_ <= FEW))
-            & (reduce(add, map(bits, FACTS[2:])) <= 4 * F.floor(long_ * F.lit(1 - similarity) + F.lit(1e-9))))
+    return ((short >= long_ * F.lit(similarity) - F.lit(1e-9)) & ((_turned(one, other, ["sim"]) <= BITS) | (long_ <= FEW))
+            & (_turned(one, other) <= 4 * F.floor(long_ * F.lit(1 - similarity) + F.lit(1e-9))))
 
 
 def _release(spark: SparkSession) -> None:
@@ -513,6 +517,23 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return cut(new.select("node", F.coalesce("now", "component").alias("component")), "line_groups")
 
 
+def _across(comp: DataFrame, pairs: DataFrame, verified) -> DataFrame:
+    """Components after the links among pairs (a, b) of lines of the groups g and h, by verified(pairs, label).
+
+    Of each two groups the pair that differs in the fewest bits goes first, then all others whose groups are
+    still apart: two lines of one group need no link."""
+    if not pairs.limit(1).count():
+        return comp
+    first = cut(pairs.groupBy("g", "h").agg(F.min(F.struct("turned", "a", "b")).alias("p")).select("p.a", "p.b", "g", "h"), "first_pairs")
+    links = verified(first, "first_links").join(first, ["a", "b"])
+    joined = maybe_broadcast(components(links, "g", "h"))
+    now = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias("now_" + x))
+    rest = pairs.join(first, ["a", "b", "g", "h"], "left_anti").join(now("g"), "g", "left").join(now("h"), "h", "left")
+    rest = cut(rest.where(F.coalesce("now_g", "g") != F.coalesce("now_h", "h")).select("a", "b"), "rest_pairs")
+    links = links.select("a", "b")
+    return _merged(comp, links.union(verified(rest, "rest_links")) if rest.limit(1).count() else links)
+
+
 def groups(docs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (k1, k2, gid, first, n) and links (node, component) of those that have any."""
     spark = docs.sparkSession
@@ -559,16 +580,18 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFr
     ordered = lambda both: both.select(F.least("l.gid", "r.gid").alias("a"), F.greatest("l.gid", "r.gid").alias("b")).distinct()
     more = cut(ordered(both).join(pairs, ["a", "b"], "left_anti"), "late_pairs")
     comp = _merged(comp, verified(more, "late_links")) if more.limit(1).count() else comp
-    # third round: blocks with more members than leaders that still hold several groups, in tiles
+    # third round: blocks with more members than leaders that still hold several groups, in tiles; pairs of two groups one first
     open_ = open_.where(F.col("m") > LEADERS).drop("c").join(comp.withColumnRenamed("node", "gid"), "gid", "left").withColumn("c", F.coalesce("component", "gid"))
     mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")).where("lo <> hi").select("key", "tiles")
     open_ = cut(open_.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("gid"), F.col("tiles")).cast("int")).select("key", "gid", *FACTS, "c", "tiles", "tile"), "tiled_lines")
     left = open_.withColumn("j", F.explode(F.sequence("tile", F.col("tiles") - 1))).withColumnRenamed("tile", "i").alias("l")
     right = open_.withColumn("i", F.explode(F.sequence(F.lit(0), "tile"))).withColumnRenamed("tile", "j").alias("r")
     both = left.join(right, ["key", "i", "j"]).where((F.col("l.c") < F.col("r.c")) | ((F.col("i") < F.col("j")) & (F.col("l.c") != F.col("r.c"))))
-    both = both.where(_alike("l", "r", similarity))
-    last = cut(ordered(both).join(pairs.union(more), ["a", "b"], "left_anti"), "last_pairs")
-    comp = _merged(comp, verified(last, "last_links")) if last.limit(1).count() else comp
+    both = both.where(_alike("l", "r", similarity)).select(
+        F.least("l.gid", "r.gid").alias("a"), F.greatest("l.gid", "r.gid").alias("b"),
+        F.least("l.c", "r.c").alias("g"), F.greatest("l.c", "r.c").alias("h"), _turned("l", "r").alias("turned")).distinct()
+    last = cut(both.join(pairs.union(more), ["a", "b"], "left_anti"), "last_pairs")
+    comp = _across(comp, last, verified)
     drop(texts)
     return uniq, comp
 

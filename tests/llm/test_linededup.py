@@ -271,6 +271,29 @@ def test_lines_that_share_words_are_not_compared_in_squares(spark, monkeypatch):
     assert 20 <= sum(compared) < 7000  # of 14,365 pairs of lines in the block
 
 
+def test_lines_of_one_group_are_not_compared_again(spark):
+    """Late pairs of two groups: one goes first, and once it links the groups the others are not compared."""
+    rng, compared = random.Random(9), []
+    group = {i: i // 20 * 20 for i in range(120)}  # six groups of 20 lines and 30 single ones
+    group |= {i: i for i in range(120, 150)}
+    pairs = [(a, b) for a in group for b in range(a + 1, 150) if group[a] != group[b] and rng.random() < 0.7]
+    links = {p for p in pairs if group[p[0]] < 60 and group[p[1]] < 60 or p[0] >= 140 or rng.random() < 0.002}
+    comp = spark.createDataFrame([(i, g) for i, g in group.items() if i < 120], "node long, component long")
+    rows = [(a, b, *sorted((group[a], group[b])), 5 if (a, b) in links and group[a] < 60 else rng.randrange(4, 90)) for a, b in pairs]
+
+    def verified(some, label):
+        got = [(r.a, r.b) for r in some.collect()]
+        compared.extend(got)
+        return cut(spark.createDataFrame([p for p in got if p in links], "a long, b long"), label)
+
+    got = {r.node: r.component for r in D._across(comp, spark.createDataFrame(rows, "a long, b long, g long, h long, turned int"), verified).collect()}
+    top = roots(150, [*links, *((i, g) for i, g in group.items())])
+    least = {t: min(i for i in range(150) if top[i] == t) for t in top}
+    assert all(got.get(i, i) == least[top[i]] for i in range(150))
+    assert len(compared) == len(set(compared)) < 0.9 * len(pairs)
+    assert sum(group[a] < 60 and group[b] < 60 for a, b in compared) < 0.1 * sum(group[a] < 60 and group[b] < 60 for a, b in pairs)
+
+
 def test_a_rough_alignment_is_never_below_the_distance():
     rng, found, alike = random.Random(4), 0, 0
     word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7)))
