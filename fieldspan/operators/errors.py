@@ -11,12 +11,17 @@ from ..functions.text import let, present, strip
 
 def classify(pairs: DataFrame) -> DataFrame:
     """pairs (approach, doc_id, field, gold, pred, text, ...) with cause. The other gold values of the
-    document come from pairs itself, as one list per (approach, document)."""
+    document come from pairs itself, as one list per (approach, document). Outcomes bring norm_gold, norm_pred
+    and that list (golds) with them; then nothing is shuffled."""
     g, p = present(F.col("gold")), present(F.col("pred"))
-    rows = pairs.withColumns({"ng": F.when(g, normalize_field(F.col("field"), F.col("gold"))), "np": F.when(p, normalize_field(F.col("field"), F.col("pred")))})
-    # a document's few fields; no exchange where the rows are dealt by document already
-    own = Window.partitionBy("approach", "doc_id")
-    rows = rows.withColumn("golds", F.collect_list(F.when(F.col("ng").isNotNull(), F.struct("field", "ng"))).over(own))
+    carried = ("norm_gold", "norm_pred", "golds")
+    if all(c in pairs.columns for c in carried):
+        rows = pairs.withColumnsRenamed({"norm_gold": "ng", "norm_pred": "np"})
+    else:
+        rows = pairs.drop(*carried).withColumns({"ng": F.when(g, normalize_field(F.col("field"), F.col("gold"))), "np": F.when(p, normalize_field(F.col("field"), F.col("pred")))})
+        # a document's few fields; no exchange where the rows are dealt by document already
+        own = Window.partitionBy("approach", "doc_id")
+        rows = rows.withColumn("golds", F.collect_list(F.when(F.col("ng").isNotNull(), F.struct("field", "ng"))).over(own))
     alnum = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
     # the page does not show the gold value, neither as it is nor normalised; the prediction plays no part
     corrupted = g & ~F.contains(F.col("text"), F.col("gold")) & let(
