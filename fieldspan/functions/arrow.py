@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,9 +44,10 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def with_similarity(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """df with the matching-blocks ratio of two columns; a map over batches, so that no other expression is
-    evaluated with it."""
+    evaluated with it. Pairs seen lately are not compared again."""
     def run(batches):
+        ratio = lru_cache(1 << 16)(lambda x, y: difflib.SequenceMatcher(None, x, y).ratio())
         for pdf in batches:
-            yield pdf.assign(**{out: [difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(pdf[a], pdf[b], strict=True)]})
+            yield pdf.assign(**{out: [ratio(x, y) if x and y else 0.0 for x, y in zip(pdf[a], pdf[b], strict=True)]})
 
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
